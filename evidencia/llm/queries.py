@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evidencia.llm import tokens
+from evidencia.llm import packing, tokens
 
 QUERIES: dict = {
     "p8_ids": tokens.p8_ids,
+    "p9_packing": packing.p9_packing,
 }
 SQL: dict = {}
