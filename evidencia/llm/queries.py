@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from evidencia.llm import packing, tokens
+from evidencia.llm import packing, spans, tokens
 
 QUERIES: dict = {
     "p8_ids": tokens.p8_ids,
     "p9_packing": packing.p9_packing,
+    "p10_found": spans.p10_found,
+    "p10_shared": spans.p10_shared,
 }
 SQL: dict = {}
