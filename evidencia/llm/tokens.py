@@ -51,67 +51,76 @@ def _visible() -> np.ndarray:
 VISIBLE = _visible()
 
 
-def unit_offsets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the texts of a batch fall into units, and the text each unit belongs to.
+def unit_offsets(raw: np.ndarray, offsets: np.ndarray, bits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the texts of a batch fall into cores, each followed by a join, and the text each core belongs to.
 
-    raw: bytes of all texts; offsets: where each begins, and the end.  Returns n + 1 byte offsets and n text numbers.
-    An empty text has one empty unit, so that no row is lost.
+    raw: bytes of all texts; offsets: where each begins, and the end.  Returns for each core its begin, its end, which
+    is where its join begins, and its text's number; the join ends where the next core of the text begins.  Begin and
+    end of a text are cuts as certain as a seam, so the first core begins there, the last one ends there, and every
+    text, an empty one too, has one core at least.
     """
     begin, end = int(offsets[0]), int(offsets[-1])
     body = raw[begin:end]
     edge = offsets.astype(np.int64) - begin
-    cut = np.flatnonzero(cut_mask(body, CHUNK_BITS)) + 1 if len(body) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(cut_mask(body, CHUNK_BITS if bits is None else bits)) + 1
     ends = np.unique(np.concatenate((cut, edge[1:])))
-    seams = np.flatnonzero(VISIBLE[body[:-1]] & ((body[1:] == 32) | (body[1:] == 10))) + 1 if len(body) else cut
-    # a seam needs both of its bytes inside one chunk, hence inside one text
-    seams = seams[~np.isin(seams, ends)] if len(seams) else seams
-    starts = np.concatenate(([0], ends[:-1]))
+    seams = np.flatnonzero(VISIBLE[body[:-1]] & ((body[1:] == 32) | (body[1:] == 10))) + 1
+    seams = seams[~np.isin(seams, ends)]  # a seam needs both of its bytes in one chunk, hence in one text
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
     first, last = np.searchsorted(seams, starts, "left"), np.searchsorted(seams, ends, "left") - 1
     has = first <= last
-    at = np.concatenate((seams[first[has]], seams[last[has]], edge[1:-1], [0, len(body)])) if len(seams) else np.concatenate((edge, [0]))
-    at = np.unique(at)
-    owner = np.searchsorted(edge, at[:-1], "right") - 1
-    empty = np.flatnonzero(np.diff(edge) == 0)
-    if len(empty):
-        place = np.searchsorted(at[:-1], edge[empty], "left")
-        at, owner = np.insert(at, place, edge[empty]), np.insert(owner, place, empty)
-        order = np.lexsort((at[:-1], owner))
-        if not (order == np.arange(len(order))).all():
-            raise AssertionError("units are not in the order of their texts")
-    if len(at) == 1:
-        return np.zeros(1, np.int64) + begin, np.zeros(0, np.int64)
-    return at + begin, owner
-
-
-def split_units(texts: list[str]) -> list[list[bytes]]:
-    """The units of some texts, for tests: their concatenation is the text."""
+    a, b = seams[first[has]], seams[last[has]]
+    owner = np.searchsorted(edge, a, "right") - 1
+    bare = np.setdiff1d(np.arange(len(edge) - 1), owner)  # texts without a seam are one core
+    a, b, owner = np.concatenate((a, edge[bare])), np.concatenate((b, edge[bare + 1])), np.concatenate((owner, bare))
+    order = np.lexsort((a, owner))
+    a, b, owner = a[order], b[order], owner[order]
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    a[new], b[np.append(new[1:], len(owner)) - 1] = edge[:-1], edge[1:]
+    return a + begin, b + begin, owner
+
+
+def split_units(texts: list[str], bits: int | None = None) -> list[list[bytes]]:
+    """The cores and joins of some texts in turn, for tests: their concatenation is the text."""
     raw, offsets = text_buffers(pa.array(texts, pa.string()))
-    at, owner = unit_offsets(raw, offsets)
+    a, b, owner = unit_offsets(raw, offsets, bits)
     out: list[list[bytes]] = [[] for _ in texts]
-    for a, b, n in zip(at, at[1:], owner):
-        out[n].append(raw[a:b].tobytes())
+    for k, n in enumerate(owner):
+        out[n] += [raw[a[k] : b[k]].tobytes(), raw[b[k] : a[k + 1]].tobytes() if k + 1 < len(owner) and owner[k + 1] == n else b""]
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw, offsets = text_buffers(batch.column(1))
-        at, owner = unit_offsets(raw, offsets)
-        units = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
-        starts = np.searchsorted(owner, np.arange(batch.num_rows), "left")
-        seq = np.arange(len(owner)) - starts[owner]
-        yield pa.RecordBatch.from_arrays([pa.array(row + owner), batch.column(0).take(pa.array(owner)), pa.array(seq.astype(np.int32)), units], ["row", "key", "seq", "unit"])
-        row += batch.num_rows
+def _ids(core, data: bytes) -> bytes:
+    return np.frombuffer(core.encode_to_tiktoken_buffer(data.decode(), set()), np.uint32).astype("<u2").tobytes()
+
+
+def _cut(folder: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core = encoder(folder, name)._core_bpe
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, offsets = text_buffers(batch.column(1))
+            a, b, owner = unit_offsets(raw, offsets)
+            data = raw.tobytes()
+            follow = np.append(np.where(owner[1:] == owner[:-1], a[1:], b[:-1]), b[-1])
+            # a join belongs to its place and is encoded there, between two cuts that are certain
+            joins = [_ids(core, data[x:y]) if y > x else b"" for x, y in zip(b.tolist(), follow.tolist())]
+            cores = pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+            seq = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+            number = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(row + owner), batch.column(0).take(number), pa.array(seq.astype(np.int32)), cores, pa.array(joins, pa.binary())], ["row", "key", "seq", "unit", "join_ids"])
+            row += batch.num_rows
+
+    return run
 
 
 def _pack(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = encoder(folder, name)._core_bpe
         for batch in batches:
-            ids = [np.frombuffer(core.encode_to_tiktoken_buffer(u.decode(), set()), np.uint32).astype("<u2").tobytes() for u in batch.column(2).to_pylist()]
+            ids = [_ids(core, u) for u in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["d1", "d2", "packed"])
 
     return run
@@ -130,11 +139,11 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "ids"])
 
 
-def _units(df: DataFrame, key: str, text: str) -> DataFrame:
+def _units(df: DataFrame, key: str, text: str, folder: str, name: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    cut = rows.mapInArrow(_cut, f"row bigint, key {kind}, seq int, unit binary")
-    return cut.select("row", "key", "seq", "unit", F.xxhash64("unit").alias("d1"), F.xxhash64(F.lit("second"), "unit").alias("d2"))
+    cut = rows.mapInArrow(_cut(folder, name), f"row bigint, key {kind}, seq int, unit binary, join_ids binary")
+    return cut.withColumns({"d1": F.xxhash64("unit"), "d2": F.xxhash64(F.lit("second"), "unit")})
 
 
 def _encoded(units: DataFrame, folder: str, name: str) -> DataFrame:
@@ -147,22 +156,25 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
 
     One row for each row of ``df``, repeated rows and null keys included; an empty or null text has an empty list.
     Other columns of ``df`` are ignored.  ``df`` should be a stored table: rows are numbered by partition and place.
-    Of a unit that a third of all rows share the text crosses the shuffle once a task; its places are 36 bytes each, and
-    the join that brings them their ids is a sort-merge join that adaptive execution splits where a key is hot.
+    Of a chunk that a third of all rows share, the text crosses the shuffle once a task; its places are a few dozen
+    bytes each, and the join that brings them their ids is a sort-merge join which adaptive execution splits where a
+    key is hot.
     """
-    units = _units(df, key, text)
+    units = _units(df, key, text, folder, name)
     kind = df.schema[key].dataType.simpleString()
-    parts = units.select("row", "key", "seq", "d1", "d2").join(_encoded(units, folder, name), ["d1", "d2"])
-    whole = parts.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("seq", "packed"))).alias("parts"))
+    parts = units.select("row", "key", "seq", "d1", "d2", "join_ids").join(_encoded(units, folder, name), ["d1", "d2"])
+    part = F.struct("seq", F.concat("packed", "join_ids").alias("packed"))
+    whole = parts.groupBy("row").agg(F.max(F.when(F.col("seq") == 0, F.col("key"))).alias("key"), F.array_sort(F.collect_list(part)).alias("parts"))
     return whole.select("key", F.col("parts.packed").alias("parts")).mapInArrow(_join_up, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
     """(row, key, n_ids): as many ids as ``encode_corpus`` gives, without moving the ids themselves."""
-    units = _units(df, key, text)
-    sizes = _encoded(units, folder, name).select("d1", "d2", (F.octet_length("packed") / 2).cast("bigint").alias("n"))
-    counted = units.select("row", "key", "d1", "d2").join(sizes, ["d1", "d2"])
-    return counted.groupBy("row").agg(F.first("key").alias(key), F.sum("n").alias("n_ids"))
+    units = _units(df, key, text, folder, name)
+    n = lambda c: (F.octet_length(c) / 2).cast("bigint")
+    sizes = _encoded(units, folder, name).select("d1", "d2", n("packed").alias("n"))
+    counted = units.select("row", "key", n("join_ids").alias("more"), "d1", "d2").join(sizes, ["d1", "d2"])
+    return counted.groupBy("row").agg(F.first("key").alias(key), F.sum(F.col("n") + F.col("more")).alias("n_ids"))
 
 
 def p8_ids(spark, sf_dir: str) -> DataFrame:
