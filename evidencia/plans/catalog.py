@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from evidencia.plans import problems
+
+QUERIES: dict = {
+    "p7_found": problems.p7_found,
+    "p7_searches": problems.p7_searches,
+    "p7_listings": problems.p7_listings,
+    "p7_extensions": problems.p7_extensions,
+    "p7_places": problems.p7_places,
+}
 SQL: dict = {}
