@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from evidencia.llm import packing, spans, tokens
+from evidencia.llm import neardup, packing, spans, tokens
 
 QUERIES: dict = {
+    "p6_found": neardup.p6_found,
+    "p6_groups": neardup.p6_groups,
+    "p6_documents": neardup.p6_documents,
     "p8_ids": tokens.p8_ids,
     "p9_packing": packing.p9_packing,
     "p10_found": spans.p10_found,
