@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from evidencia.llm import neardup, packing, spans, tokens
+from evidencia.llm import neardup, orgnames, packing, spans, tokens
 
 QUERIES: dict = {
+    "p3_found": orgnames.p3_found,
+    "p3_organisations": orgnames.p3_organisations,
     "p6_found": neardup.p6_found,
     "p6_groups": neardup.p6_groups,
     "p6_documents": neardup.p6_documents,
