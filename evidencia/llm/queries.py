@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evidencia.llm import neardup, orgnames, packing, spans, tokens
+from evidencia.llm import neardup, orgnames, packing, places, spans, tokens
 
 QUERIES: dict = {
+    "p1_found": places.p1_found,
     "p3_found": orgnames.p3_found,
     "p3_organisations": orgnames.p3_organisations,
     "p6_found": neardup.p6_found,
