@@ -5,6 +5,8 @@ from __future__ import annotations
 from evidencia.plans import problems
 
 QUERIES: dict = {
+    "p2_found": problems.p2_found,
+    "p2_not_unique": problems.p2_not_unique,
     "p7_found": problems.p7_found,
     "p7_searches": problems.p7_searches,
     "p7_listings": problems.p7_listings,

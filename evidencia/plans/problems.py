@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencia.operators import nested
-from evidencia.runtime import stored, table
+from evidencia.operators import nested, units
+from evidencia.runtime import spread, stored, table
 
 
 def _recordings(spark, sf_dir: str) -> DataFrame:
@@ -35,3 +35,33 @@ p7_searches = _flat(nested.ROOT, ["engine", "recordedAt", "params.q", "params.lo
 p7_listings = _flat("jobs_results", ["title", "company_name", "location", "detected_extensions.salary", "description"])
 p7_extensions = _flat("extensions", [])
 p7_places = _flat("local_results", ["title", "place_id", "type", "address", "rating", "reviews"])
+
+
+def _pay(frames):
+    import pandas as pd
+
+    for f in frames:
+        out = []
+        for src, key, pay, text, more in zip(f["src"], f["rec_id"], f["pay"], f["text"], f["more"]):
+            got = units.offer(pay, text) if src == "offer" else units.listing(pay, more, text)
+            if got:
+                out.append((src, key, *got))
+        yield pd.DataFrame(out, columns=["src", "rec_id", "low_inr", "high_inr", "is_unique"])
+
+
+def _pays(spark, sf_dir: str) -> DataFrame:
+    """Pay of every message and listing that states one; a record delivered twice counts once."""
+    offers = table(spark, sf_dir, "offers", "offer_id", "pay_raw", "source_text").select(F.lit("offer").alias("src"), F.col("offer_id").alias("rec_id"), F.col("pay_raw").alias("pay"), F.col("source_text").alias("text"), F.lit(None).cast("array<string>").alias("more"))
+    listings = table(spark, sf_dir, "job_listings", "listing_id", "detected_extensions", "extensions", "description").select(F.lit("listing").alias("src"), F.col("listing_id").alias("rec_id"), F.col("detected_extensions.salary").alias("pay"), F.col("description").alias("text"), F.col("extensions").alias("more"))
+    rows = spread(offers).unionByName(spread(listings))
+    return rows.mapInPandas(_pay, "src string, rec_id bigint, low_inr bigint, high_inr bigint, is_unique boolean").distinct()
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    """(src, rec_id, low_inr, high_inr): pay in whole rupees per month."""
+    return _pays(spark, sf_dir).select("src", "rec_id", "low_inr", "high_inr")
+
+
+def p2_not_unique(spark, sf_dir: str) -> DataFrame:
+    """(src, rec_id, low_inr, high_inr) of the records whose units have more than one solution."""
+    return _pays(spark, sf_dir).filter(~F.col("is_unique")).select("src", "rec_id", "low_inr", "high_inr")
