@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from evidencia.llm import language, neardup, orgnames, packing, places, spans, tokens
+from evidencia.llm import language, neardup, orgnames, packing, pii, places, spans, tokens
 
 QUERIES: dict = {
     "p1_found": places.p1_found,
     "p3_found": orgnames.p3_found,
     "p3_organisations": orgnames.p3_organisations,
+    "p4_found": pii.p4_found,
+    "p4_redacted": pii.p4_redacted,
     "p5_found": language.p5_found,
     "p5_segments": language.p5_segments,
     "p6_found": neardup.p6_found,
