@@ -65,3 +65,12 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 def p2_not_unique(spark, sf_dir: str) -> DataFrame:
     """(src, rec_id, low_inr, high_inr) of the records whose units have more than one solution."""
     return _pays(spark, sf_dir).filter(~F.col("is_unique")).select("src", "rec_id", "low_inr", "high_inr")
+
+
+def p2_benchmark(spark, sf_dir: str) -> DataFrame:
+    """(title, listings, found, median_pay): exact median of the middle of each listing's pay, by title."""
+    from evidencia.functions.benchmark import benchmark
+
+    pays = _pays(spark, sf_dir).filter("src = 'listing'").select(F.col("rec_id").alias("listing_id"), ((F.col("low_inr") + F.col("high_inr")) / 2).alias("pay"))
+    titles = table(spark, sf_dir, "job_listings", "listing_id", "title").distinct()
+    return benchmark(titles.join(pays, "listing_id", "left"), ["title"], "pay")
