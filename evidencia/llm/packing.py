@@ -24,78 +24,132 @@ CAPACITY = 2048
 NODES = 4000
 
 
-def completion(counts: np.ndarray, room: int, nodes: int = NODES) -> list[int]:
-    """Sizes, largest first, that fill ``room`` with the least waste found.
+def completion(counts: np.ndarray, room: int, order: np.ndarray, nodes: int = NODES) -> list[int]:
+    """Sizes that fill ``room`` with the least waste found.
 
-    counts[s]: items of size s at hand (not changed).  Branches go from the larger to the smaller sizes, so that each
-    multiset is met once; a filling beside which another item would still fit is dominated and never kept.
+    counts[s]: items of size s at hand (not changed); order: all sizes, those to be tried first first.  Branches follow
+    that order, so that each multiset is met once; a filling beside which another item would still fit is dominated
+    and never kept.
     """
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
+    have = [s for s in order.tolist() if s <= room and counts[s]]
+    if not have:
         return []
-    left = {int(s): int(counts[s]) for s in have}
-    smallest = int(have[0])
-
+    smallest = min(have)
     best: list[int] = []
     rest = room
-    for s in have[::-1].tolist():  # best fit decreasing is the incumbent
-        while left[s] > best.count(s) and s <= rest:
-            best.append(s)
-            rest -= s
+    for s in sorted(have, reverse=True):  # best fit decreasing is the incumbent
+        n = min(int(counts[s]), rest // s)
+        best += [s] * n
+        rest -= s * n
     waste, seen = rest, 0
-    if not waste:
+    if not waste and have == sorted(have, reverse=True):
         return best
+    if not waste:
+        waste = 1  # the order may know a filling as good
 
     chosen: list[int] = []
 
-    def branch(rest: int, top: int) -> None:
+    def branch(rest: int, start: int) -> None:
         nonlocal best, waste, seen
         if rest < waste:
             best, waste = chosen.copy(), rest
         if rest < smallest or not waste or seen >= nodes:
             return
-        at = int(np.searchsorted(have, min(rest, top), "right")) - 1
-        while at >= 0 and waste and seen < nodes:
-            s = int(have[at])
-            at -= 1
-            used = chosen.count(s)
-            if used >= left[s]:
+        for at in range(start, len(have)):
+            s = have[at]
+            if s > rest or chosen.count(s) >= counts[s]:
                 continue
             seen += 1
             chosen.append(s)
-            branch(rest - s, s)
+            branch(rest - s, at)
             chosen.pop()
+            if not waste or seen >= nodes:
+                return
 
-    branch(room, room)
+    branch(room, 0)
     return best
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
-    """Slots (size, start, times, each, container, at): ranks of a size from ``start`` on, ``each`` a container.
-
-    counts[s]: items of size s, 0 < s <= capacity.  Containers are numbered from 0 without gaps.
-    """
-    counts = counts.copy()
-    taken = np.zeros(len(counts), np.int64)
+def _slots(fillings: list[tuple[list[int], int]], most: int) -> pd.DataFrame:
+    """Slots for (sizes, times) in the order of their containers."""
+    taken = np.zeros(most + 1, np.int64)
     rows, container = [], 0
-    while counts.any():
-        top = int(np.flatnonzero(counts)[-1])
-        counts[top] -= 1
-        filling = [top, *completion(counts, capacity - top)]
-        counts[top] += 1
+    for filling, times in fillings:
         sizes, each = np.unique(filling, return_counts=True)
-        times = int((counts[sizes] // each).min())
         at = 0
         for s, n in zip(sizes[::-1].tolist(), each[::-1].tolist()):
             rows.append((s, int(taken[s]), times, n, container, at))
             at += s * n
-        counts[sizes] -= each * times
         taken[sizes] += each * times
         container += times
     return pd.DataFrame(rows, columns=["size", "start", "times", "each", "container", "at"]).sort_values(["size", "start"], ignore_index=True)
 
 
+def complete(counts: np.ndarray, capacity: int, abundant: bool) -> list[tuple[list[int], int]]:
+    """Fillings around the largest size left, one after the other."""
+    counts = counts.copy()
+    falling = np.arange(capacity, 0, -1)
+    out = []
+    while counts.any():
+        top = int(np.flatnonzero(counts)[-1])
+        order = falling[np.argsort(-(counts[falling] * falling), kind="stable")] if abundant else falling
+        counts[top] -= 1
+        filling = [top, *completion(counts, capacity - top, order)]
+        counts[top] += 1
+        sizes, each = np.unique(filling, return_counts=True)
+        times = int((counts[sizes] // each).min())
+        counts[sizes] -= each * times
+        out.append((filling, times))
+    return out
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Best fit decreasing over the histogram: containers filled alike are one row with their number."""
+    open_: list[tuple[int, list[int], int]] = []  # room, sizes, times
+    for s in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[s])
+        while left:
+            fits = [k for k, (room, _, _) in enumerate(open_) if room >= s]
+            if fits:
+                room, sizes, times = open_.pop(min(fits, key=lambda k: open_[k][0]))
+                n = min(left // (room // s), times)  # containers that take as many as fit
+                if n:
+                    open_.append((room - room // s * s, sizes + [s] * (room // s), n))
+                    left -= n * (room // s)
+                elif left:
+                    open_.append((room - left * s, sizes + [s] * left, 1))
+                    n, left = 1, 0
+                if times > n:
+                    open_.append((room, sizes, times - n))
+            else:
+                n, each = left // (capacity // s), capacity // s
+                if n:
+                    open_.append((capacity - each * s, [s] * each, n))
+                if left % each:
+                    open_.append((capacity - left % each * s, [s] * (left % each), 1))
+                left = 0
+    return [(sizes, times) for _, sizes, times in open_]
+
+
+def containers(made: pd.DataFrame) -> int:
+    return int((made["container"] + made["times"]).max()) if len(made) else 0
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
+    """Slots (size, start, times, each, container, at): ranks of a size from ``start`` on, ``each`` a container.
+
+    counts[s]: items of size s, 0 < s <= capacity.  Containers are numbered from 0 without gaps.  Best fit decreasing is
+    the incumbent of the whole; completion with large sizes first, then with the sizes that make up most of what is
+    left, replaces it where that takes fewer containers, until the bound that the sum of sizes gives is reached.
+    """
+    bound = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    best = _slots(best_fit(counts, capacity), len(counts))
+    for abundant in (False, True):
+        if containers(best) > bound:
+            best = min((_slots(complete(counts, capacity, abundant), len(counts)), best), key=containers)
+    return best
+
+
 def place(slots_of: pd.DataFrame, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Container of the item of that size and rank, and where in it the item begins; empty items stand in container 0."""
     container, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
