@@ -271,16 +271,22 @@ class Reader:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def reader() -> Reader:
+    """One for a Python worker: what it has read serves all tasks that the worker runs."""
+    return Reader(tagger())
+
+
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, begin, end, kind, found) of every personal detail; null and empty texts have none."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(tagger())
+        own = reader()
         for f in frames:
             for at in range(0, len(f), 2000):
                 part = f.iloc[at : at + 2000]
-                out = [(k, a, b, KINDS[n], t[a:b]) for k, t, spans in zip(part["key"], part["text"], reader.read(part["text"].tolist())) for a, b, n in spans]
+                out = [(k, a, b, KINDS[n], t[a:b]) for k, t, spans in zip(part["key"], part["text"], own.read(part["text"].tolist())) for a, b, n in spans]
                 yield pd.DataFrame(out, columns=["key", "begin", "end", "kind", "found"])
 
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0))
@@ -304,10 +310,10 @@ def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(tagger())
+        own = reader()
         for f in frames:
             texts = [t if isinstance(t, str) else None for t in f["text"]]
-            yield pd.DataFrame({"key": f["key"], "redacted": [replaced(t, s) for t, s in zip(texts, reader.read([t or "" for t in texts]))]})
+            yield pd.DataFrame({"key": f["key"], "redacted": [replaced(t, s) for t, s in zip(texts, own.read([t or "" for t in texts]))]})
 
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInPandas(run, f"key {kind}, redacted string").withColumnRenamed("key", key)
