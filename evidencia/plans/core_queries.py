@@ -9,7 +9,7 @@ from evidencia.functions import benchmark as B
 from evidencia.functions import domains as D
 from evidencia.functions import matching as M
 from evidencia.functions import text as T
-from evidencia.operators import claims, lookups
+from evidencia.operators import claims, lookups, scrub
 from evidencia.sources import requests as R
 from evidencia.streaming import logs
 from evidencia.runtime import table
@@ -287,3 +287,16 @@ def props_projection(spark, sf_dir):
 def offer_spans(spark, sf_dir):
     """(offer_id, kind, value, begin, end, synthetic): sentences, contacts and amounts with their spans."""
     return claims.extract(table(spark, sf_dir, "offers", "offer_id", "source_text").distinct(), "offer_id", "source_text")
+
+
+@query()
+def masked_listings(spark, sf_dir):
+    """(listing_id, masked, left): descriptions with phone numbers masked, and numbers still found, which must be 0."""
+    masked = scrub.mask_phones_column("description")
+    return table(spark, sf_dir, "job_listings", "listing_id", "description").distinct().select("listing_id", masked.alias("masked")).withColumn("left", scrub.count_phones_column("masked"))
+
+
+@query()
+def listing_pay_sentences(spark, sf_dir):
+    """(listing_id, pay_text): what a description says about pay."""
+    return table(spark, sf_dir, "job_listings", "listing_id", "description").filter("description is not null").distinct().select("listing_id", scrub.pay_sentences_column("description").alias("pay_text"))

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(rows: DataFrame, at: str) -> DataFrame:
+    """A stream's event time must be a point in time; a table keeps its type."""
+    return rows.withColumn(at, F.col(at).cast("timestamp")) if rows.isStreaming else rows
+
+
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, kind, n): events per tumbling window; later events than ``late`` are dropped by the watermark.
 
     Works on a stream and, where the watermark has no effect, on a table.
     """
-    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
+    return _timed(events, at).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
 
 
 def without_copies(rows: DataFrame, at: str, print_: str, within: str = "1 day") -> DataFrame:
     """A stream without rows whose fingerprint was seen ``within`` that time; the state is dropped behind the watermark."""
-    return rows.withWatermark(at, within).dropDuplicatesWithinWatermark([print_])
+    return _timed(rows, at).withWatermark(at, within).dropDuplicatesWithinWatermark([print_])

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidencia.operators import claims, lookups, nested, units
+from evidencia.operators import claims, lookups, nested, scrub, units
 from evidencia.operators.components import components
 from evidencia.sources import requests as R
 from evidencia.streaming import logs
@@ -115,7 +115,7 @@ def test_claims_have_their_spans(spark):
     df = spark.createDataFrame([("m", text), ("e", ""), ("n", None)], "offer_id string, source_text string")
     got = claims.extract(df, "offer_id", "source_text").collect()
     assert {r.offer_id for r in got} == {"m"}
-    spans = {(r.kind, text[r.begin : r.end]) for r in got if r.kind != "sentence"}
+    spans = {(r.kind, text[r.begin : r.end]) for r in got if r.kind in ("money", "email", "phone", "link")}
     assert spans == {("money", "Rs. 500"), ("email", "hr@zorvan.example"), ("phone", "98765 43210"), ("link", "www.zorvan.example/x"), ("money", "12k-15k")}
     assert [text[r.begin : r.end] for r in got if r.kind == "sentence"] == ["Dear A, pay Rs. 500 at hr@zorvan.example.", "Call 98765 43210 or see www.zorvan.example/x.", "Earn 12k-15k!"]
 
@@ -202,3 +202,40 @@ def test_streamed_windows_and_copies(spark, small, tmp_path):
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
     logs.without_copies(stream, "ts", "event_type", "3650 days").writeStream.format("memory").queryName("d").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
     assert spark.table("d").count() == spark.table("d").select("event_type").distinct().count()
+
+
+# ---- scrubbing
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call +91 98765 43210 now", "call +91 9XXXX XXXXX now"),
+        ("call 98765-43210", "call 9XXXX-XXXXX"),
+        ("91 9876543210", "91 9XXXXXXXXX"),
+        ("salary 65000-75000 per month", "salary 65000-75000 per month"),
+        ("https://x.example/jobs/12345678901234", "https://x.example/jobs/12345678901234"),
+        ("https://wa.me/919876543210", "https://wa.me/919XXXXXXXXX"),
+        ("https://x.example/?phone=9876543210&id=77", "https://x.example/?phone=9XXXXXXXXX&id=77"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_phone_masks(text, want):
+    assert scrub.mask_phones(text) == want
+    assert scrub.mask_phones(want) == want
+    assert scrub.count_phones(want) == 0
+
+
+def test_results_that_are_dropped(spark):
+    links = ["https://www.linkedin.com/in/someone", "https://in.linkedin.com/company/x", "https://youtu.be/x", "https://brand.example/", None]
+    df = spark.createDataFrame([([(k, x) for k, x in enumerate(links)],), (None,)], "r array<struct<k int, link string>>".replace("k int, link string", "k:int,link:string"))
+    got = [r.r for r in df.select(scrub.kept_results(F.col("r")).alias("r")).collect()]
+    assert [x.k for x in got[0]] == [1, 3, 4] and got[1] is None
+
+
+def test_claims_of_a_message():
+    text = "Greetings from Zorvan Support Services, you are selected.\nPost: Data Entry Executive\nLocation: Pune\nSalary: Rs. 12,000/- per month\nNo laptop deposit is needed. Pay the registration fee of Rs 999 today."
+    assert [(k, v) for k, v, _, _ in claims.claim_spans(text)] == [("company", "Zorvan Support Services"), ("role", "Data Entry Executive"), ("city", "Pune"), ("pay", "Rs. 12,000/- per month"), ("fee", "999")]
+    assert [c[:2] for c in claims.claim_spans("A registration fee applies.")] == [("fee", "")]
+    assert claims.claim_spans("There is no registration fee.") == []
