@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencia.operators.components import components
-from evidencia.runtime import spread, stored, table
+from evidencia.runtime import dealt, stored, table
 
 # fixed values: words that say nothing about which organisation is meant
 LEGAL = frozenset("pvt private ltd limited llp p inc incorporated co company corp corporation plc opc".split())
@@ -183,12 +183,12 @@ def organisations(names: DataFrame) -> DataFrame:
     ``org`` is the same for spellings of one organisation.  Names without a letter or digit are left out; names that
     differ in a known line of business never meet.
     """
-    distinct = stored(spread(names).mapInPandas(_normal, "name string, n bigint, key string, line string, words array<string>, cut boolean"))
+    distinct = stored(dealt(names).mapInPandas(_normal, "name string, n bigint, key string, line string, words array<string>, cut boolean"))
     best = F.max_by("words", F.struct((F.size("words") == 2).cast("int").alias("two"), F.col("n"), F.col("name")))
     node = F.concat_ws("|", "key", "line").alias("node")
     nodes = distinct.groupBy("key", "line").agg(F.count("*").alias("n"), best.alias("words"), F.min("cut").alias("cut")).select(node, "key", "line", "n", "words", "cut")
     nodes = stored(nodes)
-    forms = stored(nodes.mapInPandas(_forms, "form string, node string, line string, n bigint, full boolean, cost int").distinct())
+    forms = stored(dealt(nodes).mapInPandas(_forms, "form string, node string, line string, n bigint, full boolean, cost int").distinct())
 
     v = forms.filter(~F.col("full")).select("form", F.col("node").alias("v"), F.col("line").alias("line_v"), F.col("n").alias("n_v"), F.col("cost").alias("cost_v"))
     u = forms.select("form", F.col("node").alias("u"), F.col("line").alias("line_u"), F.col("n").alias("n_u"), F.col("cost").alias("cost_u"), "full")

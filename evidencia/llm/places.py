@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencia.llm.bktree import Tree
-from evidencia.runtime import spread, table
+from evidencia.runtime import dealt, table
 
 #: Entries in one tree; a longer list is looked up shard by shard.
 SHARD = 20_000
@@ -128,7 +128,7 @@ def to_list(values: DataFrame, value: str, entries: DataFrame, columns: tuple[st
     key, *names = columns
     listed = entries.filter(F.col(key).isNotNull() & F.col(names[0]).isNotNull()).select(*columns)
     shards = -(-listed.count() // SHARD) or 1
-    distinct = spread(values.select(F.col(value).alias("value")).filter("value is not null").distinct())
+    distinct = dealt(values.select(F.col(value).alias("value")).filter("value is not null").distinct())
     parts = None
     for k in range(shards):
         # one shard, at most about SHARD small rows, is held by the driver and each worker at a time
