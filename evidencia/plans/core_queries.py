@@ -286,7 +286,7 @@ def props_projection(spark, sf_dir):
 @query()
 def offer_spans(spark, sf_dir):
     """(offer_id, kind, value, begin, end, synthetic): sentences, contacts and amounts with their spans."""
-    return claims.extract(table(spark, sf_dir, "offers", "offer_id", "source_text").distinct(), "offer_id", "source_text")
+    return claims.extract(table(spark, sf_dir, "offers", "offer_id", "source_text"), "offer_id", "source_text").distinct()
 
 
 @query()

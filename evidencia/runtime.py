@@ -50,9 +50,18 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` over at least as many partitions as the session shuffles into.
 
     A Python stage over a small file would otherwise run in as many tasks as the file has splits.
-    Large inputs, which have more splits than that, are left as they are.
+    Large inputs, which have more splits than that, are left as they are.  For scans without a shuffle: counting the
+    partitions of a shuffled frame would run the shuffle, see ``dealt``.
     """
     want = max(slots(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= want // 2:
         return df
     return df.repartition(want, *columns) if columns else df.repartition(want)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of an aggregate over as many partitions as the session shuffles into, for a Python stage behind it.
+
+    Adaptive execution would join the small partitions of an aggregate, and a costly stage would run in one task.
+    """
+    return df.repartition(max(slots(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
