@@ -85,3 +85,31 @@ def test_benchmark(spark):
 def test_well_formed(spark):
     df = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (None,)], "x double")
     assert [r[0] for r in df.select(T.well_formed(F.col("x"))).collect()] == [1.5, None, None, None]
+
+
+def test_functions_in_sql(spark):
+    from evidencia.functions.register import register
+
+    assert len(register(spark)) == 6
+    got = spark.sql("select ev_edit_distance('ca', 'abc') d, ev_edit_distance(null, 'a') n, ev_mask_phones('call 98765 43210') m, ev_lookalike('tcs-hr', 'tcs') l").first()
+    assert tuple(got) == (2, None, "call 9XXXX XXXXX", "contains")
+
+
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        ({"text": "x"}, None),
+        ({}, "arguments lacks text"),
+        ({"text": ""}, "text is too short"),
+        ({"text": "x", "n": True}, "n must be of type integer"),
+        ({"text": "x", "n": 0}, "n is too small"),
+        ({"text": "x", "other": 1}, "arguments has no member other"),
+        ({"text": "x", "mode": "c"}, "mode must be one of a, b"),
+        ("x", "arguments must be of type object"),
+    ],
+)
+def test_refusals(value, want):
+    from evidencia.functions.register import refusal
+
+    schema = {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 20}, "n": {"type": "integer", "minimum": 1}, "mode": {"enum": ["a", "b"]}}}
+    assert refusal(value, schema) == want
