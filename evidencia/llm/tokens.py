@@ -109,8 +109,8 @@ def _cut(folder: str, name: str):
             joins = [_ids(core, data[x:y]) if y > x else b"" for x, y in zip(b.tolist(), follow.tolist())]
             cores = pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
             seq = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
-            number = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(row + owner), batch.column(0).take(number), pa.array(seq.astype(np.int32)), cores, pa.array(joins, pa.binary())], ["row", "key", "seq", "unit", "join_ids"])
+            # the key travels with a text's first chunk only
+            yield pa.RecordBatch.from_arrays([pa.array(row + owner), batch.column(0).take(pa.array(owner, mask=seq > 0)), pa.array(seq.astype(np.int32)), cores, pa.array(joins, pa.binary())], ["row", "key", "seq", "unit", "join_ids"])
             row += batch.num_rows
 
     return run
@@ -142,13 +142,14 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _units(df: DataFrame, key: str, text: str, folder: str, name: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    # 96 bits name a chunk: among 10**12 chunks two would share them with a chance below 10**-5
     cut = rows.mapInArrow(_cut(folder, name), f"row bigint, key {kind}, seq int, unit binary, join_ids binary")
-    return cut.withColumns({"d1": F.xxhash64("unit"), "d2": F.xxhash64(F.lit("second"), "unit")})
+    return cut.withColumns({"d1": F.xxhash64("unit"), "d2": F.hash("unit")})
 
 
 def _encoded(units: DataFrame, folder: str, name: str) -> DataFrame:
     once = units.groupBy("d1", "d2").agg(F.first("unit").alias("unit"))
-    return once.mapInArrow(_pack(folder, name), "d1 bigint, d2 bigint, packed binary")
+    return once.mapInArrow(_pack(folder, name), "d1 bigint, d2 int, packed binary")
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
@@ -164,7 +165,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
     kind = df.schema[key].dataType.simpleString()
     parts = units.select("row", "key", "seq", "d1", "d2", "join_ids").join(_encoded(units, folder, name), ["d1", "d2"])
     part = F.struct("seq", F.concat("packed", "join_ids").alias("packed"))
-    whole = parts.groupBy("row").agg(F.max(F.when(F.col("seq") == 0, F.col("key"))).alias("key"), F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = parts.groupBy("row").agg(F.max("key").alias("key"), F.array_sort(F.collect_list(part)).alias("parts"))
     return whole.select("key", F.col("parts.packed").alias("parts")).mapInArrow(_join_up, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -174,7 +175,7 @@ def count_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: st
     n = lambda c: (F.octet_length(c) / 2).cast("bigint")
     sizes = _encoded(units, folder, name).select("d1", "d2", n("packed").alias("n"))
     counted = units.select("row", "key", n("join_ids").alias("more"), "d1", "d2").join(sizes, ["d1", "d2"])
-    return counted.groupBy("row").agg(F.first("key").alias(key), F.sum(F.col("n") + F.col("more")).alias("n_ids"))
+    return counted.groupBy("row").agg(F.max("key").alias(key), F.sum(F.col("n") + F.col("more")).alias("n_ids"))
 
 
 def p8_ids(spark, sf_dir: str) -> DataFrame:
