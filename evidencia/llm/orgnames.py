@@ -131,6 +131,11 @@ def edits(s: str) -> int:
     return 2 if len(s) >= 9 else 1 if len(s) >= 5 else 0
 
 
+def is_short(words: list[str], cut: bool) -> bool:
+    """A word cut short, with its stop or without: two errors would make many names of what is left."""
+    return cut or len(words) > 1 and min(map(len, words)) <= 4
+
+
 def own_forms(key: str) -> Iterator[tuple[str, int]]:
     """(form, errors) of a core's letters."""
     yield key, 0
@@ -168,13 +173,14 @@ def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for node, key, line, n, words, cut in zip(f["node"], f["key"], f["line"], f["n"], f["words"], f["cut"]):
-            out += [(form, node, line, n, False, cost) for form, cost in own_forms(key)]
+            short = is_short(list(words), cut)
+            out += [(form, node, line, n, False, cost, short) for form, cost in own_forms(key) if cost < 2 or not short]
             if not cut:
                 best: dict[str, int] = {}
                 for form, cost in cut_forms(list(words)):
                     best[form] = min(cost, best.get(form, cost))
-                out += [(form, node, line, n, True, cost) for form, cost in best.items()]
-        yield pd.DataFrame(out, columns=["form", "node", "line", "n", "full", "cost"])
+                out += [(form, node, line, n, True, cost, short) for form, cost in best.items()]
+        yield pd.DataFrame(out, columns=["form", "node", "line", "n", "full", "cost", "short"])
 
 
 def organisations(names: DataFrame) -> DataFrame:
@@ -188,16 +194,17 @@ def organisations(names: DataFrame) -> DataFrame:
     node = F.concat_ws("|", "key", "line").alias("node")
     nodes = distinct.groupBy("key", "line").agg(F.count("*").alias("n"), best.alias("words"), F.min("cut").alias("cut")).select(node, "key", "line", "n", "words", "cut")
     nodes = stored(nodes)
-    forms = stored(dealt(nodes).mapInPandas(_forms, "form string, node string, line string, n bigint, full boolean, cost int").distinct())
+    forms = stored(dealt(nodes).mapInPandas(_forms, "form string, node string, line string, n bigint, full boolean, cost int, short boolean").distinct())
 
-    v = forms.filter(~F.col("full")).select("form", F.col("node").alias("v"), F.col("line").alias("line_v"), F.col("n").alias("n_v"), F.col("cost").alias("cost_v"))
-    u = forms.select("form", F.col("node").alias("u"), F.col("line").alias("line_u"), F.col("n").alias("n_u"), F.col("cost").alias("cost_u"), "full")
+    v = forms.filter(~F.col("full")).select("form", F.col("node").alias("v"), F.col("line").alias("line_v"), F.col("n").alias("n_v"), F.col("cost").alias("cost_v"), F.col("short").alias("short_v"))
+    u = forms.select("form", F.col("node").alias("u"), F.col("line").alias("line_u"), F.col("n").alias("n_u"), F.col("cost").alias("cost_u"), "full", F.col("short").alias("short_u"))
 
     # typing errors: the core with fewer spellings joins the one with more, of the same line
     errors = F.greatest("cost_u", "cost_v")
     rarer = (F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") > F.col("u")))
+    near_ = (errors < 2) | ~(F.col("short_u") | F.col("short_v"))
     believed = (F.col("n_v") <= RARE) | (F.col("n_v") * TIMES <= F.col("n_u"))
-    typo = v.join(u.filter(~F.col("full")).withColumnRenamed("line_u", "line_v"), ["form", "line_v"]).filter(rarer & believed)
+    typo = v.join(u.filter(~F.col("full")).withColumnRenamed("line_u", "line_v"), ["form", "line_v"]).filter(rarer & believed & near_)
     typo = typo.groupBy("v", "u").agg(F.min(errors).alias("cost"), F.first("n_u").alias("n_u"))
     parent = typo.groupBy("v").agg(F.min_by("u", F.struct("cost", (-F.col("n_u")).alias("n"), "u")).alias("u"))
     comp = stored(components(stored(parent.select(F.col("v").alias("a"), F.col("u").alias("b")))))
@@ -211,8 +218,9 @@ def organisations(names: DataFrame) -> DataFrame:
     loose = loose.groupBy("v", "u").agg(F.min(F.when(F.col("full"), F.col("cost_u") + F.col("cost_v")).otherwise(F.greatest("cost_u", "cost_v"))).alias("cost"))
     loose = loose.join(of, "u").join(own, "v").filter("comp_u <> comp_v")
     least = loose.withColumn("least", F.min("cost").over(Window.partitionBy("v"))).filter("cost = least")
-    rare = least.groupBy("v").agg(F.count_distinct("comp_u").alias("met"), F.first("comp_u").alias("comp_u"), F.first("comp_v").alias("comp_v")).filter("met = 1")
-    more = stored(rare.select(F.col("comp_v").alias("a"), F.col("comp_u").alias("b")))
+    rare = least.groupBy("v").agg(F.count_distinct("comp_u").alias("met"), F.first("comp_u").alias("comp_u"), F.first("comp_v").alias("comp_v"), F.min("cost").alias("cost")).filter("met = 1")
+    # spellings already held together join one organisation, that of their cheapest rewriting
+    more = stored(rare.groupBy(F.col("comp_v").alias("a")).agg(F.min_by("comp_u", F.struct("cost", "comp_u")).alias("b")))
     last = components(more).withColumnRenamed("comp", "org").withColumnRenamed("node", "comp")
     org = entity.join(last, "comp", "left").select("node", F.coalesce("org", "comp").alias("org"))
     return distinct.select("name", node).join(org, "node").select("name", "org")
