@@ -24,8 +24,10 @@ BANDS, ROWS = 64, 8
 #: MinHash values, of 8 bits each, that the pruning compares, and how many at a time.
 CHECKS, BLOCK = 128, 16
 TOLERANCE = 1e-4
-#: A bucket of more classes is opened by its leaders instead of pair by pair.
+#: A bucket of more classes is compared block by block instead of by pairs of rows.
 FEW = 24
+#: Classes of a block, bytes of their shingles and band values, and shingles that one matrix product takes.
+MOST, BYTES, SLICE = 1024, 4 << 20, 2048
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -144,14 +146,66 @@ def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
     return left.join(side("a", "sh"), "a").join(side("b", "sh"), "b").mapInPandas(exact, f"a {kind}, b {kind}")
 
 
+def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of shingle sets whose similarity is ``threshold`` or more, by incidence matrices."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate((n, m)))
+    _, col, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    met = count[col] > 1  # a shingle of one set only is common to no pair
+    row, col = row[met], (np.cumsum(count > 1) - 1)[col[met]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, SLICE):
+        part = slice(*np.searchsorted(col, (k, k + SLICE)))
+        has = np.zeros((len(left) + len(right), SLICE), np.float32)
+        has[row[part], col[part] - k] = 1
+        both += has[: len(left)] @ has[len(left) :].T
+    both = both.astype(np.int64)
+    return np.nonzero(both >= threshold * (n[:, None] + m - both))
+
+
+def crowded(crowd: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b), a < b, of the rows (bucket, id) that share a bucket and are alike, each once.
+
+    The classes of a bucket are dealt into blocks, and each two blocks meet in one group, so that no group holds more
+    than two blocks.  A pair is given by the first of the buckets it shares.
+    """
+    kind = signed.schema["id"].dataType.simpleString()
+    sized = crowd.join(signed.select("id", (F.octet_length("sh") + 8 * BANDS).alias("size")), "id")
+    parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("size") / BYTES), F.ceil(F.count("*") / MOST)).alias("parts"))
+    rows = crowd.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = rows.select("bucket", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        bucket, lo, hi = f["bucket"].iloc[0], f["lo"].iloc[0], f["hi"].iloc[0]
+        one, two = f[f["own"] == lo], f[f["own"] == hi]
+        x, y = ([np.frombuffer(d, np.uint64) for d in side["sh"]] for side in (one, two))
+        i, j = alike(x, y, threshold) if x and y else (np.zeros(0, np.int64),) * 2
+        if lo == hi:
+            i, j = i[i < j], j[i < j]
+        out = []
+        if len(i):
+            u, v = np.stack(one["bands"].to_list()), np.stack(two["bands"].to_list())
+            for k in range(0, len(i), 1 << 15):
+                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                first = (u[p] == v[q]).argmax(axis=1)
+                mine = u[p, first] == bucket
+                a, b = one["id"].to_numpy()[p[mine]], two["id"].to_numpy()[q[mine]]
+                out.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": f["id"].iloc[:0], "b": f["id"].iloc[:0]})
+
+    found = rows.join(signed.select("id", "bands", "sh"), "id").groupBy("bucket", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
+    return found.filter("a <> b")
+
+
 def links(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Returns (members, links): members(key, id) with the class of each row, links(a, b) of classes, a < b.
 
     A class is the rows of equal shingle sets, named by the least key.  Rows with a null key, and texts of fewer than
-    ``width`` words (null and empty ones too), take no part.  Buckets of up to FEW classes give their pairs.  A larger
-    bucket is opened by leaders: all its classes are held against its least one; those that are alike leave, the rest
-    goes on with a new leader, until no large bucket is left.  So no bucket gives a quadratic number of pairs, and
-    every class of a bucket is linked, directly or over the leader, with all it is alike.
+    ``width`` words (null and empty ones too), take no part.  All pairs of classes that share a bucket are compared:
+    buckets of up to FEW classes give their pairs, those of larger ones are compared exactly, block by block.
     """
     kind = df.schema[key].dataType.simpleString()
     run, schema = _sign(width, kind)
@@ -163,20 +217,12 @@ def links(df: DataFrame, key: str, text: str, width: int = 5, threshold: float =
     members = signed_rows.select("key", "same").join(signed_rows.groupBy("same").agg(F.min("key").alias("id")), "same").select("key", "id").distinct()
 
     bucket = signed.select("id", F.explode("bands").alias("bucket"))
-    crowd = bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
+    crowd = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(bucket.join(crowd, "bucket"))
     few = met.filter(F.col("n") <= FEW)
     other = few.select("bucket", F.col("id").alias("b"))
     found = verified(few.select("bucket", F.col("id").alias("a")).join(other, "bucket").filter("a < b").select("a", "b").distinct(), signed, threshold)
-
-    rest = met.filter(F.col("n") > FEW).select("bucket", "id", "least")
-    while not rest.isEmpty():
-        led = stored(verified(rest.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), signed, threshold))
-        found = found.unionByName(led)
-        gone = led.select(F.col("a").alias("least"), F.col("b").alias("id"))
-        rest = rest.filter("id <> least").join(gone, ["least", "id"], "left_anti").select("bucket", "id")
-        again = rest.groupBy("bucket").agg(F.min("id").alias("least"))
-        rest = stored(rest.join(again, "bucket"))
+    found = found.unionByName(crowded(met.filter(F.col("n") > FEW).select("bucket", "id"), signed, threshold))
     return members, found.distinct()
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidencia.llm import neardup, spans
 
@@ -98,6 +99,28 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, few):
     assert got == root
 
 
+@pytest.mark.parametrize("few,most", [(2, 7), (24, 1024)])
+def test_links_of_a_crowd_are_those_of_brute_force(spark, monkeypatch, few, most):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "MOST", most, raising=False)
+    texts = {k: t for t, k in {t.lower(): k for k, t in messages().items()}.items()}  # each a class of its own
+    df = spark.createDataFrame([*texts.items()], "k bigint, t string")
+    got = {r.k: r.links for r in neardup.groups(df, "k", "t", width=2, threshold=0.75).collect()}
+    assert got == {k: sum(k in p for p in naive_alike(texts, 2, 0.75)) for k in texts}
+    assert max(got.values()) > 20
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_a_chain_in_a_crowd_holds_together(spark, monkeypatch, kind):
+    """The middle one is alike to both ends, which are not alike; all three meet in the only bucket there is."""
+    for name, value in {"FEW": 1, "BANDS": 1, "ROWS": 1}.items():
+        monkeypatch.setattr(neardup, name, value)
+    words = next(w for w in ([f"{s}w{k}" for k in range(120)] for s in range(50)) if len({int(neardup.minhash(neardup.shingles(" ".join(w[k : k + 100]), 1), 1 + neardup.CHECKS)[0]) for k in (0, 10, 20)}) == 1)
+    df = spark.createDataFrame([(k, " ".join(words[k * 10 : k * 10 + 100])) for k in range(3)], "k bigint, t string").withColumn("k", F.col("k").cast(kind))
+    got = {int(r.k): (int(r.group), r.links) for r in neardup.groups(df, "k", "t", width=1, threshold=0.8).collect()}
+    assert got == {0: (0, 1), 1: (0, 2), 2: (0, 1)}
+
+
 def test_pruning_keeps_what_is_alike():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (4000, neardup.CHECKS), np.uint8)
