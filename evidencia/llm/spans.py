@@ -77,7 +77,7 @@ class Prefix:
 
 
 def pieces(text: str, least: int = LEAST, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of the pieces of a text; of equal pieces the first."""
+    """Places and digests of all pieces of a text, by place."""
     none = np.zeros(0, np.int64)
     if text is None or len(text) < least:
         return none, none
@@ -85,12 +85,18 @@ def pieces(text: str, least: int = LEAST, stride: int = STRIDE) -> tuple[np.ndar
     length = least - stride + 1
     at = starts(points, stride)
     at = at[at + length <= len(points)]
-    digest, first = np.unique(Prefix(points).digests(at, length), return_index=True)
-    return at[first], digest
+    return at, Prefix(points).digests(at, length)
+
+
+def again(digests: np.ndarray) -> np.ndarray:
+    """Which digests stand earlier in the array too."""
+    out = np.ones(len(digests), bool)
+    out[np.unique(digests, return_index=True)[1]] = False
+    return out
 
 
 def windows(text: str, near: np.ndarray, least: int = LEAST, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of all stretches of ``least`` characters that hold a piece starting at one of ``near``."""
+    """Places and digests of all stretches of ``least`` characters that hold a piece starting at one of ``near``, by place."""
     points = code_points(text)
     count = len(points) - least + 1
     if count <= 0:
@@ -99,57 +105,62 @@ def windows(text: str, near: np.ndarray, least: int = LEAST, stride: int = STRID
     np.add.at(mark, np.clip(near - stride + 1, 0, count), 1)
     np.add.at(mark, np.clip(near + 1, 0, count), -1)
     at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    digest, first = np.unique(Prefix(points).digests(at, least), return_index=True)
-    return at[first], digest
-
-
-def common(a: np.ndarray, b: np.ndarray, pa: int, pb: int, length: int) -> tuple[int, int]:
-    """Begin in ``a`` and length of the common stretch around a[pa:pa+length] = b[pb:pb+length]; 0 if they differ."""
-    if not np.array_equal(a[pa : pa + length], b[pb : pb + length]):
-        return pa, 0
-    n = min(pa, pb)
-    differ = np.flatnonzero(a[pa - n : pa] != b[pb - n : pb])
-    left = n - 1 - int(differ[-1]) if len(differ) else n
-    ea, eb = pa + length, pb + length
-    n = min(len(a) - ea, len(b) - eb)
-    differ = np.flatnonzero(a[ea : ea + n] != b[eb : eb + n])
-    right = int(differ[0]) if len(differ) else n
-    return pa - left, left + length + right
-
-
-def compare(text_a: str, text_b: str, places: list[tuple[int, int]], least: int = LEAST, stride: int = STRIDE) -> list[tuple[int, int, int]]:
-    """(begin in a, begin in b, length) of the common stretches of ``least`` characters or more around the places."""
-    a, b, length = code_points(text_a), code_points(text_b), least - stride + 1
-    found: set[tuple[int, int, int]] = set()
-    for pa, pb in sorted(places):
-        if any(x - y == pa - pb and x <= pa < x + n for x, y, n in found):
+    return at, Prefix(points).digests(at, least)
+
+
+def stand_in(a: np.ndarray, b: np.ndarray, in_a: tuple[np.ndarray, np.ndarray], in_b: tuple[np.ndarray, np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches of ``a`` whose windows all stand in ``b``; the texts decide, not the digests."""
+    (at, digest), (other, theirs) = in_a, in_b
+    known, first = np.unique(theirs, return_index=True)
+    if not len(known):
+        return []
+    k = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+    hit = known[k] == digest
+    p, q = at[hit], other[first[k[hit]]]
+    out: list[tuple[int, int]] = []
+    # windows one after the other in both texts are compared as one stretch
+    for x, y in zip(*(np.split(v, np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1) for v in (p, q))):
+        if not len(x):
             continue
-        begin, n = common(a, b, pa, pb, length)
-        if n >= least:
-            found.add((begin, begin + pb - pa, n))
-    return sorted(found)
+        if np.array_equal(a[x[0] : x[-1] + least], b[y[0] : y[-1] + least]):
+            stretches = [(int(x[0]), int(x[-1]) + least)]
+        else:
+            stretches = [(int(i), int(i) + least) for i, j in zip(x, y) if np.array_equal(a[i : i + least], b[j : j + least])]
+        for begin, end in stretches:
+            if out and begin <= out[-1][1]:
+                begin, end = out.pop()[0], end
+            out.append((begin, end))
+    return out
+
+
+def compare(text_a: str, text_b: str, near_a: np.ndarray, near_b: np.ndarray, least: int = LEAST, stride: int = STRIDE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches of each text that stand in the other, among the windows around the places; linear in the texts."""
+    a, b = code_points(text_a), code_points(text_b)
+    in_a, in_b = windows(text_a, near_a, least, stride), windows(text_b, near_b, least, stride)
+    return stand_in(a, b, in_a, in_b, least), stand_in(b, a, in_b, in_a, least)
 
 
 def _emit(least: int, stride: int, kind: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keys, at, digests = [], [], []
+            keys, at, digests, more = [], [], [], []
             for key, text in zip(f["key"], f["text"]):
                 p, d = pieces(text, least, stride)
                 keys.append(np.full(len(p), key))
                 at.append(p)
                 digests.append(d)
+                more.append(again(d))
             if keys:
-                yield pd.DataFrame({"digest": np.concatenate(digests), "key": np.concatenate(keys), "at": np.concatenate(at)})
+                yield pd.DataFrame({"digest": np.concatenate(digests), "key": np.concatenate(keys), "at": np.concatenate(at), "again": np.concatenate(more)})
 
-    return run, f"digest bigint, key {kind}, at int"
+    return run, f"digest bigint, key {kind}, at int, again boolean"
 
 
 def candidates(df: DataFrame, least: int, stride: int) -> DataFrame:
-    """(digest, key, at, docs) for the pieces that stand in two or more texts."""
+    """(digest, key, at, again, docs) for all places of the pieces that stand in two or more texts, ``docs`` of them."""
     run, schema = _emit(least, stride, df.schema["key"].dataType.simpleString())
     every = spread(df).mapInPandas(run, schema)
-    shared = every.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("docs")).filter("lo < hi").select("digest", "docs")
+    shared = every.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count_if(~F.col("again")).alias("docs")).filter("lo < hi").select("digest", "docs")
     return every.join(shared, "digest")
 
 
@@ -158,50 +169,47 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     Returns (pairs, cover): pairs(a, b) with a < b, each once; cover(key, begin, end) with the stretches of each text
     that stand in another text, overlapping ones not yet merged.  ``key`` should be unique; rows with a null key or
-    text take no part, of rows that share a key all texts count as one record's.  Pieces in up to FEW texts are
-    compared pair by pair.  Of a piece in more texts every window around it gets a digest of its own, so that the texts
+    text take no part, of rows that share a key all texts count as one record's.  The texts of pieces
+    in up to FEW of them are compared pair by pair, around all places of such pieces.  Of a piece in more texts every window around it gets a digest of its own, so that the texts
     of a hot passage meet only where they agree on all ``least`` characters; no pair is made that is not in the result.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & (F.length("text") >= least))
-    met = stored(candidates(docs, least, stride), ["digest", "key", "at", "docs"])
+    met = stored(candidates(docs, least, stride), ["digest", "key", "at", "again", "docs"])
 
     few = met.filter(F.col("docs") <= FEW)
-    other = few.select("digest", F.col("key").alias("b"), F.col("at").alias("at_b"))
-    places = few.select("digest", F.col("key").alias("a"), F.col("at").alias("at_a")).join(other, "digest").filter("a < b")
-    # of places with the same shift one in every hundred characters or so is left: each finds the whole stretch around it
-    pairs = places.groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("places"))
-    texts_a, texts_b = docs.select(F.col("key").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(texts_a, "a").join(texts_b, "b")
+    one = few.filter(~F.col("again"))
+    pairs = one.select("digest", F.col("key").alias("a")).join(one.select("digest", F.col("key").alias("b")), "digest").filter("a < b").select("a", "b").distinct()
+    near = few.groupBy("key").agg(F.collect_list("at").alias("near")).join(docs, "key")
+    side = lambda n: near.select(F.col("key").alias(n), F.col("near").alias(f"near_{n}"), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for a, b, text_a, text_b, at in zip(f["a"], f["b"], f["text_a"], f["text_b"], f["places"]):
-                out += [(a, b, x, y, n) for x, y, n in compare(text_a, text_b, [(p["at_a"], p["at_b"]) for p in at], least, stride)]
-            yield pd.DataFrame(out, columns=["a", "b", "at_a", "at_b", "n"])
+            for a, b, text_a, text_b, near_a, near_b in zip(f["a"], f["b"], f["text_a"], f["text_b"], f["near_a"], f["near_b"]):
+                for key, found in zip((a, b), compare(text_a, text_b, np.asarray(near_a), np.asarray(near_b), least, stride)):
+                    out += [(a, b, key, x, y) for x, y in found]
+            yield pd.DataFrame(out, columns=["a", "b", "key", "begin", "end"])
 
-    proved = both.mapInPandas(verify, f"a {kind}, b {kind}, at_a int, at_b int, n int")
+    proved = both.mapInPandas(verify, f"a {kind}, b {kind}, key {kind}, begin int, end int")
 
     many = met.filter(F.col("docs") > FEW).groupBy("key").agg(F.collect_list("at").alias("near")).join(docs, "key")
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [pd.DataFrame({"key": k, "at": p, "window": d}) for k, (p, d) in ((k, windows(t, np.asarray(near), least, stride)) for k, t, near in zip(f["key"], f["text"], f["near"]))]
+            parts = [pd.DataFrame({"key": k, "at": p, "window": d, "again": again(d)}) for k, (p, d) in ((k, windows(t, np.asarray(near), least, stride)) for k, t, near in zip(f["key"], f["text"], f["near"]))]
             if parts:
                 yield pd.concat(parts)
 
-    wide = many.mapInPandas(whole, f"key {kind}, at int, window bigint")
+    wide = many.mapInPandas(whole, f"key {kind}, at int, window bigint, again boolean")
     # a window's digest is 64 bits beside that of a piece it holds, itself equal in both
     hot = wide.groupBy("window").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("window")
     agreed = wide.join(hot, "window")
-    agreed_b = agreed.select("window", F.col("key").alias("b"))
-    hot_pairs = agreed.select("window", F.col("key").alias("a")).join(agreed_b, "window").filter("a < b").select("a", "b")
-    cover = (
-        proved.select(F.col("a").alias("key"), F.col("at_a").alias("begin"), (F.col("at_a") + F.col("n")).alias("end"))
-        .unionByName(proved.select(F.col("b").alias("key"), F.col("at_b").alias("begin"), (F.col("at_b") + F.col("n")).alias("end")))
-        .unionByName(agreed.select("key", F.col("at").alias("begin"), (F.col("at") + least).alias("end")))
-    )
+    first = agreed.filter(~F.col("again"))
+    agreed_b = first.select("window", F.col("key").alias("b"))
+    hot_pairs = first.select("window", F.col("key").alias("a")).join(agreed_b, "window").filter("a < b").select("a", "b")
+    cover = proved.select("key", "begin", "end").unionByName(agreed.select("key", F.col("at").alias("begin"), (F.col("at") + least).alias("end")))
     return proved.select("a", "b").unionByName(hot_pairs).distinct(), cover
 
 

@@ -47,6 +47,25 @@ def test_spans_are_those_of_brute_force(spark, monkeypatch, few):
         assert any(texts[r.key][r.begin : r.begin + 300] in t for k, t in texts.items() if k != r.key)
 
 
+@pytest.mark.parametrize("few", [0, 12])
+def test_all_places_of_a_repeated_passage_are_covered(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(spans, "FEW", few)
+    rng = random.Random(5)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    p = fresh(400)
+    # its only piece starts at 50 or before, so that the first 250 characters hold it whole
+    s = next(t for t in iter(lambda: fresh(300), None) if max(spans.pieces(t)[0], default=99) <= 50)
+    texts = {0: p + "#" + p, 1: p, 2: fresh(80) + s[:250] + fresh(60) + s, 3: fresh(40) + s + fresh(30), 4: "z" * 3000, 5: "y" + "z" * 700, 6: fresh(500)}
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in texts.items()], "doc_id bigint, text string, n_chars bigint")
+    assert {(r.a, r.b) for r in spans.shared_spans(df)[0].collect()} == naive_shared(texts, 300)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_shared for r in spans.p10_shared(spark, str(tmp_path)).collect()}
+    for k, t in texts.items():
+        grams = {o[i : i + 300] for j, o in texts.items() if j != k for i in range(len(o) - 299)}
+        assert got[k] == len({x for i in range(len(t) - 299) if t[i : i + 300] in grams for x in range(i, i + 300)})
+    assert got[0] == 800
+
+
 def test_spans_of_an_empty_table(spark):
     pairs, cover = spans.shared_spans(spark.createDataFrame([], "doc_id bigint, text string"))
     assert pairs.count() == 0 and cover.count() == 0
