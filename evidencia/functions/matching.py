@@ -10,6 +10,16 @@ from evidencia.functions.text import LEGAL_TAIL, folded, tokens
 # fixed values: words that name no role, no organisation of their own, and no place
 ROLE_FILLER = "a an the and of for in at wfh remote work from home fresher freshers urgent hiring".split()
 OFFICE = "india office offices branch head headquarters hq corporate regional zonal campus centre center plant unit".split()
+KIND = "technologies solutions services infotech consultancy consultants enterprises industries systems llc pte corporation".split()
+CITY = (
+    "bengaluru mumbai navi thane delhi gurugram noida greater ghaziabad faridabad pune hyderabad secunderabad chennai kolkata ahmedabad "
+    "gandhinagar surat vadodara rajkot jaipur jodhpur udaipur kota indore bhopal gwalior jabalpur lucknow kanpur agra varanasi prayagraj "
+    "meerut bareilly aligarh gorakhpur patna ranchi jamshedpur dhanbad bhubaneswar cuttack raipur nagpur nashik aurangabad kolhapur "
+    "chandigarh mohali ludhiana amritsar jalandhar dehradun shimla jammu srinagar guwahati siliguri durgapur kochi thiruvananthapuram "
+    "kozhikode thrissur coimbatore madurai tiruchirappalli salem mysuru mangaluru hubballi belagavi visakhapatnam vijayawada guntur "
+    "warangal panaji puducherry bangalore bombay new gurgaon madras calcutta baroda allahabad cochin trivandrum calicut trichy mysore "
+    "mangalore hubli belgaum vizag pondicherry"
+).split()
 REMOTE = r"(?i)\b(?:anywhere|remote|work\s+from\s+home)\b"
 
 
@@ -28,10 +38,10 @@ def name_tokens(name: Column) -> Column:
 
 
 def names_match(a: Column, b: Column, where: Column | None = None) -> Column:
-    """One name begins the other word for word, and the longer adds only legal or office words or words of ``where``."""
+    """One name begins the other word for word, and the longer adds only legal, office or city words or words of ``where``."""
     x, y = name_tokens(a), name_tokens(b)
     short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
-    extra = _words([*OFFICE, *LEGAL_TAIL])
+    extra = _words([*OFFICE, *LEGAL_TAIL, *KIND, *CITY])
     if where is not None:
         extra = F.concat(extra, F.coalesce(tokens(where), F.array().cast("array<string>")))
     rest = F.slice(long, F.size(short) + 1, F.size(long))

@@ -205,13 +205,14 @@ def name_mentions(spark, sf_dir):
 
 @query()
 def names_match(spark, sf_dir):
-    """(short, long): companies of messages and listings one of which begins the other, met by its prefixes."""
+    """(short, long): companies of messages and listings one of which begins the other, met by its prefixes; of equal ones the lesser is short."""
     name = lambda t, c: table(spark, sf_dir, t, c).select(F.col(c).alias("name")).filter("name is not null").distinct()
     own = name("offers", "company").unionByName(name("job_listings", "company_name")).distinct().withColumn("t", M.name_tokens(F.col("name"))).filter(F.size("t") > 0)
     short = own.select(F.col("name").alias("short"), F.array_join("t", " ").alias("key"))
-    prefix = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda n: F.array_join(F.slice("t", F.lit(1), n), " "))
-    long = own.filter(F.size("t") > 1).select(F.col("name").alias("long"), F.explode(prefix).alias("key"))
-    return short.join(long, "key").filter(M.names_match(F.col("short"), F.col("long"))).select("short", "long").distinct()
+    prefix = F.transform(F.sequence(F.lit(1), F.size("t")), lambda n: F.array_join(F.slice("t", F.lit(1), n), " "))
+    long = own.select(F.col("name").alias("long"), F.array_join("t", " ").alias("whole"), F.explode(prefix).alias("key"))
+    met = short.join(long, "key").filter((F.col("key") != F.col("whole")) | (F.col("short") < F.col("long")))
+    return met.filter(M.names_match(F.col("short"), F.col("long"))).select("short", "long").distinct()
 
 
 _NEAR = f"contains(' ' || {_FOLD.format('j.location')} || ' ', ' ' || {_FOLD.format('''split_part(s.location, ',', 1)''')} || ' ')"

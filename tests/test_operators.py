@@ -239,3 +239,32 @@ def test_claims_of_a_message():
     assert [(k, v) for k, v, _, _ in claims.claim_spans(text)] == [("company", "Zorvan Support Services"), ("role", "Data Entry Executive"), ("city", "Pune"), ("pay", "Rs. 12,000/- per month"), ("fee", "999")]
     assert [c[:2] for c in claims.claim_spans("A registration fee applies.")] == [("fee", "")]
     assert claims.claim_spans("There is no registration fee.") == []
+
+
+def test_names_match_is_that_of_all_pairs(spark, tmp_path):
+    import re
+
+    import __spark_entry__
+    from evidencia.functions import matching as M
+    from evidencia.functions.text import LEGAL_TAIL
+
+    names = ["Foo Pvt Ltd", "Foo Limited", "FOO", "foo, ltd.", "Foo Bengaluru Office", "Foo Navi Mumbai", "Foo Services", "Foo Pizza", "Bar & Co", "Bar and", "Bar", "Foo Foo", "Pvt Ltd", "India", "India Office", ""]
+    spark.createDataFrame([(n,) for n in [*names[:9], None, "FOO"]], "company string").write.parquet(f"{tmp_path}/offers.parquet")
+    spark.createDataFrame([(n,) for n in [*names[7:], None]], "company_name string").write.parquet(f"{tmp_path}/job_listings.parquet")
+
+    def own(name):
+        t = re.findall("[a-z0-9]+", name.lower().replace("&", " and "))
+        while t and t[-1] in LEGAL_TAIL:
+            t.pop()
+        return t
+
+    extra = {*M.OFFICE, *LEGAL_TAIL, "bengaluru", "navi", "mumbai", "services"}
+    want = set()
+    for a in names:
+        for b in names:
+            x, y = own(a), own(b)
+            if x and y[: len(x)] == x and set(y[len(x) :]) <= extra and (len(x) < len(y) or a < b):
+                want.add((a, b))
+    rows = __spark_entry__.queries()["names_match"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.short, r.long) for r in rows} == want
+    assert ("Foo Limited", "Foo Pvt Ltd") in want and ("FOO", "Foo Bengaluru Office") in want
