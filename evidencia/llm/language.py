@@ -2,9 +2,11 @@
 
 One interpolated Kneser-Ney model of characters per language is fitted on a bounded sample of labelled messages.
 Since labels may be wrong, the sample's lines are first handed to the language in whose sample their n-grams have the
-largest share.  All models share one sorted array of n-gram hashes per order with a column for each language, so one
-search gives the probabilities under all of them.  The lowest cross-entropy per character wins; a line that no model
-likes as it likes its own lines has no language.
+largest share: pairs of characters first, which all lines of a language have in common, so that a wording which stands
+under wrong labels by chance moves nothing; longer ones after that, when the strange lines have left.  All models
+share one sorted array of n-gram hashes per order with a column for each language, so one search gives the
+probabilities under all of them.  The lowest cross-entropy per character wins.  Rejection and confidence are
+calibrated on lines that the models have not seen.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencia.runtime import spread, table
@@ -22,10 +24,16 @@ from evidencia.runtime import spread, table
 ORDER = 5
 #: Labelled messages of each language that a model is fitted on at most, those with the least hashes.
 SAMPLE = 300
-#: Rounds of handing the sample's lines to languages.
-ROUNDS = 3
-#: A line whose cross-entropy exceeds its language's mean by so many deviations is rejected.
-REJECT = 6.0
+#: A label that fewer than one in so many labelled messages have is no language.
+LEAST_SHARE = 1000
+#: Lengths of the n-grams by whose shares the sample's lines are handed to languages, one round each.
+MENDING = (2, 3, 4, 5)
+#: Of the lines of a language, so many are rejected; the tail of the held-out cross-entropies gives the bound.
+REJECTED = 1e-5
+#: Held-out lines whose cross-entropies the tail is fitted on, the share of all.
+TAIL = 0.1
+#: So many times the sample's messages are expected below the hash up to which messages are ranked.
+OVER = 8
 #: Fewer words with letters than this are no sentence.
 WORDS = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,44 +144,83 @@ class Models:
         return -sums / (np.diff(begin) - ORDER + 1)[:, None]
 
 
-def shares(samples: list[list[str]], lines: list[str]) -> np.ndarray:
-    """Mean log share of each line's longest n-grams in each sample."""
-    found = [np.unique(hashes(codes(x)[0])[ORDER], return_counts=True) for x in samples]
+def shares(samples: list[list[str]], lines: list[str], n: int) -> np.ndarray:
+    """Mean log share of each line's n-grams in each sample."""
     points, begin = codes(lines)
-    grams = hashes(points)[ORDER]
-    place = np.concatenate([np.arange(a, b - ORDER + 1) for a, b in zip(begin, begin[1:])])
-    owner = np.repeat(np.arange(len(lines)), np.diff(begin) - ORDER + 1)
+    grams = hashes(points)[n]
+    place = np.concatenate([np.arange(a + ORDER - 1, b - n + 1) for a, b in zip(begin, begin[1:])])
+    owner = np.repeat(np.arange(len(lines)), np.diff(begin) - ORDER - n + 2)
     out = np.empty((len(lines), len(samples)))
-    for k, (keys, counts) in enumerate(found):
+    for k, sample in enumerate(samples):
+        own, edge = codes(sample)
+        inner = np.concatenate([np.arange(a + ORDER - 1, b - n + 1) for a, b in zip(edge, edge[1:])])
+        keys, counts = np.unique(hashes(own)[n][inner], return_counts=True)
         at, there = _find(keys, grams[place])
-        share = np.log((np.where(there, counts[at], 0) + 0.1) / counts.sum())
+        share = np.log((np.where(there, counts[at] if len(counts) else 0, 0) + 0.1) / (counts.sum() + 1))
         out[:, k] = np.bincount(owner, share, len(lines)) / np.maximum(np.bincount(owner, minlength=len(lines)), 1)
     return out
 
 
+def mended(sample: list[list[str]]) -> list[list[str]]:
+    """The lines of some messages, those of sample[k] labelled k, by the language they are in.
+
+    Each round hands all lines to the language in whose lines of the round before their n-grams have the largest share.
+    A language of which less than half the lines under each label is wrong keeps its own: an n-gram's share falls under
+    a strange label as the share of strange lines does.
+    """
+    own = [[s for text in texts for s in map(sentence, text.split("\n")) if s] for texts in sample]
+    lines = list(dict.fromkeys(x for part in own for x in part))
+    for n in MENDING:
+        if not lines:
+            break
+        best = shares([x or ["\x04" * ORDER] for x in own], lines, n).argmax(axis=1)
+        own = [[x for x, b in zip(lines, best) if b == k] for k in range(len(own))]
+    return own
+
+
+def tail_bound(values: np.ndarray, beyond: float = REJECTED) -> float:
+    """What a share ``beyond`` of such values exceeds, by an exponential tail fitted to the largest TAIL of them."""
+    if len(values) < 2:
+        return float("inf")
+    ordered = np.sort(values)
+    k = max(1, int(len(ordered) * TAIL))
+    edge = ordered[-k - 1] if k < len(ordered) else ordered[0]
+    return float(edge + max((ordered[-k:] - edge).mean(), 1e-3) * max(0.0, np.log(k / len(ordered) / beyond)))
+
+
 class Languages:
     """The fitted models with each language's usual cross-entropy."""
 
     def __init__(self, names: list[str], sample: list[list[str]]):
         """sample[k]: messages labelled names[k]; some labels may be wrong."""
         self.names = names
-        # a model of next characters learns strange lines as readily as its own, so the labels are mended first: a line
-        # goes to the language in whose sample its n-grams make up the largest share, until nothing changes hands
         if not names:
             return
-        own = [[s for text in texts for s in map(sentence, text.split("\n")) if s] for texts in sample]
-        for _ in range(ROUNDS):
-            lines = list(dict.fromkeys(x for part in own for x in part))
-            best = shares([x or ["\x04"] for x in own], lines).argmax(axis=1)
-            own = [[x for x, b in zip(lines, best) if b == k] for k in range(len(names))]
-        halves = [[x[i::2] for x in own] for i in (0, 1)]
-        own = [x or ["\x04"] for x in own]
+        own = mended(sample)
         # what a line costs under a model that has not seen it: the halves judge each other
+        halves = [[x[i::2] for x in own] for i in (0, 1)]
         fitted = [Models([x or ["\x04"] for x in half]) for half in halves]
-        held = [np.concatenate([fitted[1 - i].entropy(halves[i][k])[:, k] for i in (0, 1)]) for k in range(len(names))]
-        self.mean = np.array([h.mean() if len(h) else 0 for h in held])
-        self.sd = np.array([max(h.std(), 0.15) if len(h) > 1 else 1.0 for h in held])
-        self.models = Models(own)
+        held = [[fitted[1 - i].entropy(halves[i][k]) for i in (0, 1)] for k in range(len(names))]
+        size = [np.array([len(x) for i in (0, 1) for x in halves[i][k]], float) for k in range(len(names))]
+        held = [np.concatenate(h) if len(h[0]) + len(h[1]) else np.zeros((0, len(names))) for h in held]
+        # short lines scatter more: a deviation is counted in units that fall with the root of the length
+        self.mean = np.array([h[:, k].mean() if len(h) else 0.0 for k, h in enumerate(held)])
+        self.bound = np.array([tail_bound((h[:, k] - self.mean[k]) * np.sqrt(s)) for k, (h, s) in enumerate(zip(held, size))])
+        self.slope = self._slope(held, size)
+        self.models = Models([x or ["\x04"] for x in own])
+
+    @staticmethod
+    def _slope(held: list[np.ndarray], size: list[np.ndarray]) -> float:
+        """How much of a lead in bits is believed: the factor under which the held-out lines are likeliest."""
+        best, least = 1.0, np.inf
+        for slope in 2.0 ** -np.arange(10):
+            loss = 0.0
+            for k, (h, s) in enumerate(zip(held, size)):
+                lead = (h - h[:, k : k + 1]) * s[:, None] * slope
+                loss += np.log2(np.exp2(-np.clip(lead, -500, 500)).sum(axis=1)).sum()
+            if loss < least - 1e-9:
+                best, least = float(slope), loss
+        return best
 
     def of(self, lines: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of lines as `sentence` gives them; (None, 0) where rejected."""
@@ -181,20 +228,33 @@ class Languages:
         out = []
         for row, x in zip(e, lines):
             k = int(row.argmin())
-            if row[k] > self.mean[k] + REJECT * self.sd[k]:
+            if (row[k] - self.mean[k]) * np.sqrt(len(x)) > self.bound[k]:
                 out.append((None, 0.0))
                 continue
-            odds = np.exp2(-(row - row[k]) * min(len(x), 40) / 4)
+            odds = np.exp2(-np.clip((row - row[k]) * len(x) * self.slope, 0, 500))
             out.append((self.names[k], float(1 / odds.sum())))
         return out
 
 
 def fit(df: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Languages:
-    """Models of all labels of ``df`` from at most ``sample`` messages each, those whose texts have the least hashes."""
+    """Models of all labels of ``df`` from at most ``sample`` messages each, those whose texts have the least hashes.
+
+    A label that less than one in LEAST_SHARE labelled messages has is no language, so there are at most so many.  Only
+    texts whose hash is small for their label's number leave the scan, each once however often it was sent.
+    """
     known = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    names = sorted(r.lang for r in known.select("lang").distinct().collect())
-    ordered = [known.filter(F.col("lang") == n).orderBy(F.xxhash64("text"), "text").limit(sample) for n in names]
-    return Languages(names, [[r.text for r in o.select("text").collect()] for o in ordered])
+    counts = [(r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(LEAST_SHARE).collect()]
+    total = known.count()
+    names = sorted(n for n, c in counts if c * LEAST_SHARE >= total)
+    if not names:
+        return Languages([], [])
+    limit = F.create_map(*[F.lit(x) for n, c in counts if n in names for x in (n, min(1.0, OVER * sample / c))])
+    hashed = known.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20)).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    taken: dict[str, list[str]] = {n: [] for n in names}
+    for r in hashed.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text").collect():
+        taken[r.lang].append(r.text)
+    return Languages(names, [sorted(taken[n]) for n in names])
 
 
 SEGMENTS = "first_line bigint, last_line bigint, lang string, confidence double"

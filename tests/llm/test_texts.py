@@ -36,6 +36,19 @@ def test_labels_are_mended_and_stretches_found(spark):
     assert not {400, 401, 402} & set(got)
 
 
+def test_a_wording_over_represented_among_wrong_labels_moves_nothing():
+    odd = "Ping me on {0} or leave a note at the desk before {0}."  # seen under a wrong label more often than under its own
+    en = [message(EN, k) for k in range(40)] + [odd.format(99)]
+    hi = [message(HI, k) for k in range(40)] + [odd.format(k) for k in range(6)]
+    own = language.mended([en, hi])
+    assert {x for x in own[0] if x.startswith("ping")} and not any(x.startswith("ping") for x in own[1])
+    models = language.Languages(["en", "hi_latn"], [en, hi])
+    assert models.of([language.sentence(odd.format(5))])[0][0] == "en"
+    for line in ("der vertrag wird morgen früh im büro unterschrieben", "zq xw vvk jjq pzx kkw qqz wvx", "મારું નામ રમેશ છે અને હું અહીં રહું છું"):
+        assert models.of([line]) == [(None, 0.0)]
+    assert all(x == ("en", pytest.approx(1, abs=0.1)) for x in models.of([language.sentence(x.format(3)) for x in EN]))
+
+
 def test_probabilities_sum_to_one():
     sample = [["abab abba", "baab"], ["cdcd dccd"]]
     models = language.Models(sample)
