@@ -1,7 +1,9 @@
 """Freely typed places brought to a reference list (problem 1).
 
 Every run of words in a value is looked up in a BK-tree over the list's names under a true edit metric; the longest
-name met with the fewest errors is meant, the state beside it decides between entries of one name.
+name met with the fewest errors is meant, the state beside it decides between entries of one name.  A list of more
+than one tree is cut into shards: each gives every name within the distance, and what the shards found is decided on
+together, so that the size of a shard changes nothing.
 """
 
 from __future__ import annotations
@@ -18,10 +20,8 @@ from pyspark.sql import functions as F
 from evidencia.llm.bktree import Tree
 from evidencia.runtime import dealt, table
 
-#: Entries in one tree; a longer list is looked up shard by shard.
-SHARD = 20_000
-#: Words of which a name may be made in a value, hyphens and blanks typed into it included.
-RUN = 4
+#: Entries in one tree, and distinct values in a block; a longer list is never held in one place.
+SHARD, BLOCK = 20_000, 200_000
 # fixed values: words that stand beside a place and are no part of its name
 BESIDE = frozenset("near sector road railway station branch city office hq wfo on site india state district town area the in at opp opposite behind street lane nagar plot flat".split())
 
@@ -71,7 +71,7 @@ class Gazetteer:
         out = []
         for a in range(len(words)):
             joined = ""
-            for b in range(a, min(len(words), a + RUN)):
+            for b in range(a, len(words)):  # a name has any number of words, but no more letters than the longest
                 joined += words[b]
                 if len(joined) > self.most + 2:
                     break
@@ -88,64 +88,99 @@ class Gazetteer:
         for w, found in zip(new, hits):
             self.known[w] = sorted((d, self.tree.words[k]) for d, k in found)
 
-    def meant(self, value: str) -> tuple[int, int]:
-        """(id, score) of the entry meant, or (0, 0).  ``learn`` has seen the value."""
-        words = letters(value)
-        state_hits: dict[str, int] = {}
-        hits: list[tuple[int, int, int, int, str]] = []
-        for a, b, joined in self.runs(value):
+    def hits(self, value: str) -> list[tuple]:
+        """All that the entries say about a value: (kind, name or word's place, score, -errors, id, state).
+
+        Kind 's' is a state met, 'w' a state that a word of two letters may stand for, 'c' an entry.  ``learn`` has
+        seen the value.
+        """
+        out: list[tuple] = []
+        for _, _, joined in self.runs(value):
             for d, name in self.known.get(joined, ()):
                 if name in self.states and d <= 1 + (len(name) > 9):
-                    state_hits[name] = max(state_hits.get(name, 0), len(name) - 3 * d)
-                if name in self.names:
-                    hits.append((len(name) - 3 * d, -d, a, b, name))
-        states = {max(state_hits, key=lambda s: (state_hits[s], s))} if state_hits else set()
-        if not states:
-            for w in words:
-                own = self.short.get(w, set()) if len(w) == 2 else set()
-                if len(own) == 1:
-                    states = own
-        best: tuple | None = None
-        for score, near, _, _, name in hits:
-            own = self.names[name]
-            fits = {k for k, s in own if s in states} if states else {k for k, _ in own}
-            if not fits or len(fits) > 1 and len({s for k, s in own if k in fits}) > 1:
-                continue
-            rank = (score, near, -min(fits))
-            if best is None or rank > best[0]:
-                best = (rank, min(fits))
-        return (best[1], best[0][0]) if best else (0, 0)
-
-
-def to_list(values: DataFrame, value: str, entries: DataFrame, columns: tuple[str, str, str, str] = ("city_id", "city", "state", "former_name")) -> DataFrame:
+                    out.append(("s", name, len(name) - 3 * d, -d, 0, name))
+                out += [("c", name, len(name) - 3 * d, -d, key, own) for key, own in self.names.get(name, ())]
+        for place, w in enumerate(letters(value)):
+            if len(w) == 2:
+                out += [("w", str(place), 0, 0, 0, own) for own in self.short.get(w, ())]
+        return list(dict.fromkeys(out))
+
+
+def meant(hits: list[tuple]) -> int:
+    """The id of the entry that all hits of a value mean, or 0; their order does not matter."""
+    states, words, cities = {}, {}, {}
+    for kind, name, score, near, key, own in hits:
+        if kind == "s":
+            states[name] = max(score, states.get(name, score))
+        elif kind == "w":
+            words.setdefault(int(name), set()).add(own)
+        else:
+            cities.setdefault((score, near, name), set()).add((key, own))
+    within = {max(states, key=lambda s: (states[s], s))} if states else set()
+    if not within:
+        within = next((own for _, own in sorted(words.items(), reverse=True) if len(own) == 1), set())
+    best: tuple | None = None
+    for (score, near, _), own in cities.items():
+        fits = {k for k, s in own if s in within} if within else {k for k, _ in own}
+        if not fits or len({s for k, s in own if k in fits}) > 1:
+            continue
+        rank = (score, near, -min(fits))
+        if best is None or rank > best:
+            best = rank
+    return -best[2] if best else 0
+
+
+HITS = ["kind", "name", "score", "near", "id", "state"]
+
+
+def _hits(places: Gazetteer, given: list[str]) -> list[tuple]:
+    places.learn(given)
+    return [(v, *h) for v in given for h in places.hits(v) or [(None,) * len(HITS)]]
+
+
+def to_list(values: DataFrame, value: str, entries: DataFrame, columns: tuple[str, str, str, str] = ("city_id", "city", "state", "former_name"), shard: int = SHARD) -> DataFrame:
     """(value, city_id) for every distinct non-null value; city_id is 0 where no entry is meant.
 
-    Values are met once however many rows have them.  The list is taken in shards of SHARD entries, so that no task
-    holds more than one shard's tree, and the best score of all shards wins, the lower id on ties.  A value naming a
-    state never goes to an entry of another one; a name that stands in several states, typed without any, decides
-    nothing and gives 0, as does a value without letters.  Null ids and names in the list are passed over.
+    Values are met once however many rows have them.  A list of up to ``shard`` entries is one tree in each worker; of
+    a longer one, each shard meets each block of values in a group of its own, and the hits of all shards are decided
+    on together, so the driver never holds the list and results are those of one tree.  A value naming a state never
+    goes to an entry of another one; a name that stands in several states, typed without any, decides nothing and
+    gives 0, as does a value without letters.  Null ids and names in the list are passed over.
     """
     key, *names = columns
-    listed = entries.filter(F.col(key).isNotNull() & F.col(names[0]).isNotNull()).select(*columns)
-    shards = -(-listed.count() // SHARD) or 1
-    distinct = dealt(values.select(F.col(value).alias("value")).filter("value is not null").distinct())
-    parts = None
-    for k in range(shards):
-        # one shard, at most about SHARD small rows, is held by the driver and each worker at a time
-        own = [tuple(r) for r in listed.filter(F.pmod(F.xxhash64(names[0]), F.lit(shards)) == k).collect()]
-
-        def look(frames: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
+    listed = entries.filter(F.col(key).isNotNull() & F.col(names[0]).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(columns, ("id", "city", "state", "former"))])
+    shards = -(-listed.count() // shard) or 1
+    distinct = values.select(F.col(value).alias("value")).filter("value is not null").distinct()
+    if shards == 1:
+        own = [tuple(r) for r in listed.collect()]  # at most ``shard`` entries
+
+        def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places = Gazetteer(own)
             for f in frames:
                 given = f["value"].tolist()
                 places.learn(given)
-                yield pd.DataFrame([(v, *places.meant(v)) for v in given], columns=["value", "city_id", "score"])
+                yield pd.DataFrame([(v, meant(places.hits(v))) for v in given], columns=["value", "city_id"])
+
+        return dealt(distinct).mapInPandas(look, "value string, city_id bigint").select(F.col("value").alias(value), "city_id")
+
+    blocks = -(-distinct.count() // BLOCK) or 1
+    sequence = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = listed.withColumn("shard", F.pmod(F.xxhash64("city"), F.lit(shards)).cast("int")).withColumn("block", sequence(blocks))
+    right = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")).withColumn("shard", sequence(shards))
+
+    def meet(some: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        places = Gazetteer(list(some[["id", "city", "state", "former"]].itertuples(index=False, name=None)))
+        return pd.DataFrame(_hits(places, given["value"].tolist()), columns=["value", *HITS]).astype({c: "Int64" for c in ("score", "near", "id")})
+
+    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "value string, kind string, name string, score bigint, near bigint, id bigint, state string")
+    # a value has as many hits as there are names near its own runs of words
+    every = met.groupBy("value").agg(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct(*HITS))).alias("hits"))
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"value": f["value"], "city_id": [meant([tuple(h[c] for c in HITS) for h in hits]) for hits in f["hits"]]})
 
-        one = distinct.mapInPandas(look, "value string, city_id bigint, score bigint")
-        parts = one if parts is None else parts.unionByName(one)
-    if shards > 1:
-        parts = parts.groupBy("value").agg(F.max_by("city_id", F.struct("score", -F.col("city_id"))).alias("city_id"))
-    return parts.select(F.col("value").alias(value), "city_id")
+    return every.mapInPandas(decide, "value string, city_id bigint").select(F.col("value").alias(value), "city_id")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
