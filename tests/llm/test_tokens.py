@@ -112,3 +112,40 @@ def test_all_items_have_room(spark):
     assert ((real["at"] + real.n)[inside] <= real["at"].shift(-1)[inside]).all()  # none overlaps
     assert got.groupby("doc_id").piece.count()["d500"] == 3 and (got.groupby("doc_id").piece.count().drop(["d500", "d502"]) == 1).all()
     assert real.container.nunique() <= best_fit(real.n.tolist(), CAPACITY)
+
+
+def test_cuts_do_not_depend_on_the_texts_beside():
+    some = texts()
+    alone = {t: tokens.split_units([t], 4)[0] for t in some}
+    for seed in range(3):
+        order = some.copy()
+        random.Random(seed).shuffle(order)
+        for t, units in zip(order, tokens.split_units(order, 4)):
+            assert units == alone[t]
+
+
+def test_shared_chunks_are_encoded_once_in_any_order(spark, enc):
+    rng = random.Random(8)
+    body = " ".join(f"word{rng.randrange(5000)}" for _ in range(3000))
+    rows = [(k, f"{'x ' * k}{body[k * 50 :]}") for k in range(30)] + [(100 + k, body) for k in range(60)] + [(300, "")]
+    want = {k: enc.encode_ordinary(t) for k, t in rows}
+    for parts, order in ((3, rows), (5, rows[::-1])):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").repartition(parts)
+        assert {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df).collect()} == want
+        assert {r.doc_id: r.n_ids for r in tokens.count_ids(df).collect()} == {k: len(v) for k, v in want.items()}
+    known = tokens.shared_cores(df.select("text"))
+    assert 0 < sum(bin(int(w) & (1 << 64) - 1).count("1") for w in known) < 2000
+
+
+def test_wide_ids_are_kept():
+    class Wide:
+        max_token_value = 100_255
+
+        class _core_bpe:
+            @staticmethod
+            def encode_to_tiktoken_buffer(text, special):
+                import numpy as np
+
+                return np.array([70_000, 5], np.uint32).tobytes()
+
+    assert tokens._type(Wide) == "<u4" and len(tokens._ids(Wide, b"x")) == 8
