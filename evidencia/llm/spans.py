@@ -3,8 +3,10 @@
 Chunk starts are the places whose gear hash is the least among its neighbours, so any ``stride`` places in a row hold
 one, and a stretch that stands in two texts has the same starts in both, however far it was shifted.  From each start
 a digest covers ``least - stride + 1`` characters: a common stretch of ``least`` characters holds at least one such
-piece whole.  Digests met in one text only are dropped after a partial aggregation; what is left is candidates, and
-the texts themselves decide about each of them.
+piece whole.  A first scan sends the digests; those met in two texts set a bit in a filter of fixed size, and a second
+scan sends only the places that the filter knows.  Pieces of few texts are decided on by the texts themselves; for
+those of many, each window of ``least`` characters is named by 128 bits, and a pair of texts is given at the first
+window of what they have in common and nowhere else, so a long passage in many texts costs no more than its pairs.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidencia.llm.bits import knows, words_of
 from evidencia.llm.gear import GEAR
 from evidencia.runtime import spread, stored, table
 
@@ -25,7 +29,8 @@ STRIDE = 101
 REACH = 8
 #: Up to so many texts, those with a common piece are compared pair by pair; beyond, by the digests of their windows.
 FEW = 12
-_BASE = 6364136223846793005
+#: Multipliers of two digests, each with its inverse modulo 2**64, and what spreads a character.
+BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (6364136223846793005, 3202034522624059733))
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,18 +63,15 @@ def starts(points: np.ndarray, stride: int = STRIDE) -> np.ndarray:
     return np.unique((np.uint64(0xFFFFFFFF) - (low & np.uint64(0xFFFFFFFF))).astype(np.int64))
 
 
-_inverse = pow(_BASE, -1, 1 << 64)
-
-
 class Prefix:
     """Digests of any stretch of one text from prefix sums modulo 2**64."""
 
-    def __init__(self, points: np.ndarray):
-        n = len(points)
-        x = (points.astype(np.uint64) + np.uint64(1)) * _UNIT
+    def __init__(self, points: np.ndarray, kind: int = 0):
+        n, (base, inverse) = len(points), BASES[kind]
+        x = (points.astype(np.uint64) + np.uint64(1 + kind)) * _UNIT
         x ^= x >> np.uint64(29)
-        down = np.cumprod(np.full(n + 1, np.uint64(_inverse)))
-        self.up = np.cumprod(np.full(n + 1, np.uint64(_BASE)))
+        down = np.cumprod(np.full(n + 1, np.uint64(inverse)))
+        self.up = np.cumprod(np.full(n + 1, np.uint64(base)))
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * down[:n])))
 
     def digests(self, at: np.ndarray, length: int) -> np.ndarray:
@@ -95,17 +97,15 @@ def again(digests: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(text: str, near: np.ndarray, least: int = LEAST, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of all stretches of ``least`` characters that hold a piece starting at one of ``near``, by place."""
-    points = code_points(text)
+def windows(points: np.ndarray, near: np.ndarray, least: int = LEAST, stride: int = STRIDE) -> np.ndarray:
+    """Places of all stretches of ``least`` characters that hold a piece starting at one of ``near``."""
     count = len(points) - least + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     mark = np.zeros(count + 1, np.int64)
     np.add.at(mark, np.clip(near - stride + 1, 0, count), 1)
     np.add.at(mark, np.clip(near + 1, 0, count), -1)
-    at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    return at, Prefix(points).digests(at, least)
+    return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
 
 def stand_in(a: np.ndarray, b: np.ndarray, in_a: tuple[np.ndarray, np.ndarray], in_b: tuple[np.ndarray, np.ndarray], least: int) -> list[tuple[int, int]]:
@@ -136,16 +136,19 @@ def stand_in(a: np.ndarray, b: np.ndarray, in_a: tuple[np.ndarray, np.ndarray],
 def compare(text_a: str, text_b: str, near_a: np.ndarray, near_b: np.ndarray, least: int = LEAST, stride: int = STRIDE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Stretches of each text that stand in the other, among the windows around the places; linear in the texts."""
     a, b = code_points(text_a), code_points(text_b)
-    in_a, in_b = windows(text_a, near_a, least, stride), windows(text_b, near_b, least, stride)
+    in_a, in_b = ((at, Prefix(p).digests(at, least)) for p, at in ((a, windows(a, near_a, least, stride)), (b, windows(b, near_b, least, stride))))
     return stand_in(a, b, in_a, in_b, least), stand_in(b, a, in_b, in_a, least)
 
 
-def _emit(least: int, stride: int, kind: str):
+def _emit(least: int, stride: int, kind: str, known):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keys, at, digests, more = [], [], [], []
             for key, text in zip(f["key"], f["text"]):
                 p, d = pieces(text, least, stride)
+                if known is not None:
+                    met = knows(known.value, d)
+                    p, d = p[met], d[met]
                 keys.append(np.full(len(p), key))
                 at.append(p)
                 digests.append(d)
@@ -158,8 +161,10 @@ def _emit(least: int, stride: int, kind: str):
 
 def candidates(df: DataFrame, least: int, stride: int) -> DataFrame:
     """(digest, key, at, again, docs) for all places of the pieces that stand in two or more texts, ``docs`` of them."""
-    run, schema = _emit(least, stride, df.schema["key"].dataType.simpleString())
-    every = spread(df).mapInPandas(run, schema)
+    kind, rows = df.schema["key"].dataType.simpleString(), spread(df)
+    met = rows.mapInPandas(*_emit(least, stride, kind, None)).groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi")
+    known = df.sparkSession.sparkContext.broadcast(words_of(met, "digest"))
+    every = stored(rows.mapInPandas(*_emit(least, stride, kind, known)))
     shared = every.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count_if(~F.col("again")).alias("docs")).filter("lo < hi").select("digest", "docs")
     return every.join(shared, "digest")
 
@@ -170,8 +175,10 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     Returns (pairs, cover): pairs(a, b) with a < b, each once; cover(key, begin, end) with the stretches of each text
     that stand in another text, overlapping ones not yet merged.  ``key`` should be unique; rows with a null key or
     text take no part, of rows that share a key all texts count as one record's.  The texts of pieces
-    in up to FEW of them are compared pair by pair, around all places of such pieces.  Of a piece in more texts every window around it gets a digest of its own, so that the texts
-    of a hot passage meet only where they agree on all ``least`` characters; no pair is made that is not in the result.
+    in up to FEW of them are compared pair by pair, around all places of such pieces.  Of a piece in more texts every
+    window around it is named by 128 bits, so that the texts of a hot passage meet only where they agree on all
+    ``least`` characters.  Texts that have a window behind the same other window met there already; those behind
+    different ones are paired, class against class, so no pair is made twice for one passage.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & (F.length("text") >= least))
@@ -198,17 +205,26 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [pd.DataFrame({"key": k, "at": p, "window": d, "again": again(d)}) for k, (p, d) in ((k, windows(t, np.asarray(near), least, stride)) for k, t, near in zip(f["key"], f["text"], f["near"]))]
+            parts = []
+            for key, text, near in zip(f["key"], f["text"], f["near"]):
+                points = code_points(text)
+                at = windows(points, np.asarray(near), least, stride)
+                one, two = Prefix(points).digests(at, least), Prefix(points, 1).digests(at, least)
+                # the window before, if it is one of these; else a number of the text's own
+                own = xxhash.xxh3_64_intdigest(repr(key).encode(), 5) - (1 << 63)
+                behind = np.diff(at, prepend=-2) == 1
+                parts.append(pd.DataFrame({"key": key, "at": at, "one": one, "two": two, "before": np.where(behind, np.concatenate((one[:1], one[:-1])), own), "again": again(one)}))
             if parts:
                 yield pd.concat(parts)
 
-    wide = many.mapInPandas(whole, f"key {kind}, at int, window bigint, again boolean")
-    # a window's digest is 64 bits beside that of a piece it holds, itself equal in both
-    hot = wide.groupBy("window").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("window")
-    agreed = wide.join(hot, "window")
-    first = agreed.filter(~F.col("again"))
-    agreed_b = first.select("window", F.col("key").alias("b"))
-    hot_pairs = first.select("window", F.col("key").alias("a")).join(agreed_b, "window").filter("a < b").select("a", "b")
+    wide = stored(many.mapInPandas(whole, f"key {kind}, at int, one bigint, two bigint, before bigint, again boolean"))
+    hot = wide.groupBy("one", "two").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("before").alias("least"), F.max("before").alias("most")).filter("lo < hi")
+    agreed = wide.join(hot.select("one", "two"), ["one", "two"])
+    first = wide.filter(~F.col("again")).join(hot.filter("least < most").select("one", "two"), ["one", "two"]).select("one", "two", "before", "key")
+    behind = first.select("one", "two", "before").distinct()
+    met_at = behind.withColumnRenamed("before", "x").join(behind.withColumnRenamed("before", "y"), ["one", "two"]).filter("x < y")
+    of = lambda n, c: first.select("one", "two", F.col("before").alias(c), F.col("key").alias(n))
+    hot_pairs = met_at.join(of("a", "x"), ["one", "two", "x"]).join(of("b", "y"), ["one", "two", "y"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cover = proved.select("key", "begin", "end").unionByName(agreed.select("key", F.col("at").alias("begin"), (F.col("at") + least).alias("end")))
     return proved.select("a", "b").unionByName(hot_pairs).distinct(), cover
 
