@@ -3,6 +3,10 @@
 Rows whose shingle sets are equal become one class first.  Bands of MinHash values propose pairs of classes; further
 MinHash values of a pair are compared block by block, and the pair is dropped as soon as the posterior probability
 that its similarity reaches the threshold falls below a tolerance.  What is left is verified on the shingle sets.
+
+Signatures are stored, shingle sets are not: they are made again from the texts of those classes only that a
+candidate pair or a crowd names.  Buckets of one class, nearly all, are recognised by a filter of fixed size before
+their rows are moved.
 """
 
 from __future__ import annotations
@@ -13,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidencia.llm.bits import knows, words_of
 from evidencia.operators.components import components
 from evidencia.runtime import spread, stored, table
 
-BANDS, ROWS = 64, 8
+#: MinHash values in a band, and the chance that all bands miss a pair just at the threshold.
+ROWS, MISS = 8, 1.2e-3
 #: MinHash values, of 8 bits each, that the pruning compares, and how many at a time.
 CHECKS, BLOCK = 128, 16
 TOLERANCE = 1e-4
@@ -28,6 +35,13 @@ TOLERANCE = 1e-4
 FEW = 24
 #: Classes of a block, bytes of their shingles and band values, and shingles that one matrix product takes.
 MOST, BYTES, SLICE = 1024, 4 << 20, 2048
+#: Signatures that a Python worker remembers, so that copies are signed once.
+REMEMBER = 5_000
+
+
+def bands_for(threshold: float) -> int:
+    """As many bands as MISS allows."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(threshold, 0.999999) ** ROWS)))
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -94,36 +108,66 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return left
 
 
-def _sign(width: int, kind: str):
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null"))
+
+
+def _signed(width: int, bands: int, kind: str):
+    """(key, same, bands, sig) of texts: the digest of the shingle set, the bands' buckets, the values for pruning."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, tuple] = {}
         for f in frames:
             out = []
             for key, text in zip(f["key"], f["text"]):
                 sh = shingles(text, width)
-                if len(sh):
-                    data = sh.tobytes()
-                    out.append((key, xxhash.xxh3_128_digest(data), data))
-            yield pd.DataFrame(out, columns=["key", "same", "sh"])
+                if not len(sh):
+                    continue
+                same = xxhash.xxh3_128_digest(sh.tobytes())
+                got = known.get(same)
+                if got is None:
+                    m = minhash(sh, bands * ROWS + CHECKS)
+                    buckets = [xxhash.xxh3_64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(bands)]
+                    got = buckets, (m[bands * ROWS :] & np.uint32(255)).astype(np.uint8).tobytes()
+                    known = {} if len(known) >= REMEMBER else known
+                    known[same] = got
+                out.append((key, same, *got))
+            yield pd.DataFrame(out, columns=["key", "same", "bands", "sig"])
 
-    return run, f"key {kind}, same binary, sh binary"
+    return run, f"key {kind}, same binary, bands array<bigint>, sig binary"
 
 
-def _bands(kind: str):
+def _sets(width: int, kind: str, whole: bool):
+    """(key, same, sh) of texts without signing them; the set itself only if ``whole``."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sig, check = [], []
-            for data in f["sh"]:
-                m = minhash(np.frombuffer(data, np.uint64), BANDS * ROWS + CHECKS)
-                sig.append([xxhash.xxh3_64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(BANDS)])
-                check.append((m[BANDS * ROWS :] & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"id": f["id"], "bands": sig, "sig": check, "sh": f["sh"]})
+            made = [(k, shingles(t, width).tobytes()) for k, t in zip(f["key"], f["text"])]
+            yield pd.DataFrame([(k, xxhash.xxh3_128_digest(d), d if whole else None) for k, d in made if d], columns=["key", "same", "sh"])
 
-    return run, f"id {kind}, bands array<bigint>, sig binary, sh binary"
+    return run, f"key {kind}, same binary, sh binary"
 
 
-def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose similarity is ``threshold`` or more."""
-    side = lambda n, c: signed.select(F.col("id").alias(n), F.col(c).alias(f"{c}_{n}"))
+def _met(signed: DataFrame, kind: str) -> DataFrame:
+    """(bucket, id, n) of the buckets that n > 1 classes share."""
+    shared = signed.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    known = signed.sparkSession.sparkContext.broadcast(words_of(shared, "bucket"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            each = np.diff(lists.offsets.to_numpy())
+            bucket = lists.flatten().to_numpy()
+            at = pa.array(np.flatnonzero(knows(known.value, bucket)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket).take(at), batch.column(0).take(pa.array(np.repeat(np.arange(len(each)), each))).take(at)], ["bucket", "id"])
+
+    rows = stored(signed.select("id", "bands").mapInArrow(run, f"bucket bigint, id {kind}"))
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
+
+
+def pruned(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of class ids that the posterior leaves."""
+    side = lambda n: signed.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
     kind = signed.schema["id"].dataType.simpleString()
 
     def prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,6 +177,14 @@ def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
                 f = f.iloc[survivors(a, b, threshold)]
             yield f[["a", "b"]]
 
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(prune, f"a {kind}, b {kind}")
+
+
+def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of class ids whose similarity is ``threshold`` or more, by their shingle sets."""
+    side = lambda n: held.select(F.col("id").alias(n), F.col("sh").alias(f"sh_{n}"))
+    kind = held.schema["id"].dataType.simpleString()
+
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keep = []
@@ -142,8 +194,7 @@ def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
                 keep.append(both >= threshold * (len(x) + len(y) - both))
             yield f.loc[np.array(keep, bool), ["a", "b"]]
 
-    left = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").mapInPandas(prune, f"a {kind}, b {kind}")
-    return left.join(side("a", "sh"), "a").join(side("b", "sh"), "b").mapInPandas(exact, f"a {kind}, b {kind}")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, f"a {kind}, b {kind}")
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +216,14 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
     return np.nonzero(both >= threshold * (n[:, None] + m - both))
 
 
-def crowded(crowd: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def crowded(crowd: DataFrame, signed: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b), a < b, of the rows (bucket, id) that share a bucket and are alike, each once.
 
     The classes of a bucket are dealt into blocks, and each two blocks meet in one group, so that no group holds more
     than two blocks.  A pair is given by the first of the buckets it shares.
     """
     kind = signed.schema["id"].dataType.simpleString()
-    sized = crowd.join(signed.select("id", (F.octet_length("sh") + 8 * BANDS).alias("size")), "id")
+    sized = crowd.join(held.select("id", (F.octet_length("sh") + 8 * bands_for(threshold)).alias("size")), "id")
     parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("size") / BYTES), F.ceil(F.count("*") / MOST)).alias("parts"))
     rows = crowd.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
@@ -196,33 +247,33 @@ def crowded(crowd: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
                 out.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}))
         return pd.concat(out) if out else pd.DataFrame({"a": f["id"].iloc[:0], "b": f["id"].iloc[:0]})
 
-    found = rows.join(signed.select("id", "bands", "sh"), "id").groupBy("bucket", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
+    found = rows.join(signed.select("id", "bands"), "id").join(held, "id").groupBy("bucket", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
     return found.filter("a <> b")
 
 
 def links(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Returns (members, links): members(key, id) with the class of each row, links(a, b) of classes, a < b.
 
-    A class is the rows of equal shingle sets, named by the least key.  Rows with a null key, and texts of fewer than
-    ``width`` words (null and empty ones too), take no part.  All pairs of classes that share a bucket are compared:
+    A class is the rows of equal shingle sets, named by the least key; a key with several texts is linked by any of
+    them.  Rows with a null key, and texts of fewer than ``width`` words (null and empty ones too), take no part.  All pairs of classes that share a bucket are compared:
     buckets of up to FEW classes give their pairs, those of larger ones are compared exactly, block by block.
     """
     kind = df.schema[key].dataType.simpleString()
-    run, schema = _sign(width, kind)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    signed_rows = stored(spread(rows).mapInPandas(run, schema))
-    classes = signed_rows.groupBy("same").agg(F.min("key").alias("id"), F.first("sh").alias("sh"))
-    run, schema = _bands(kind)
-    signed = stored(classes.select("id", "sh").mapInPandas(run, schema))
-    members = signed_rows.select("key", "same").join(signed_rows.groupBy("same").agg(F.min("key").alias("id")), "same").select("key", "id").distinct()
-
-    bucket = signed.select("id", F.explode("bands").alias("bucket"))
-    crowd = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(bucket.join(crowd, "bucket"))
-    few = met.filter(F.col("n") <= FEW)
+    rows = _rows(df, key, text)
+    classes = rows.mapInPandas(*_signed(width, bands_for(threshold), kind)).groupBy("same").agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    signed = stored(classes)
+    members = rows.mapInPandas(*_sets(width, kind, False)).join(signed.select("same", "id"), "same").select("key", "id").distinct()
+
+    met = stored(_met(signed, kind))
+    few, crowd = met.filter(F.col("n") <= FEW), stored(met.filter(F.col("n") > FEW).select("bucket", "id"))
     other = few.select("bucket", F.col("id").alias("b"))
-    found = verified(few.select("bucket", F.col("id").alias("a")).join(other, "bucket").filter("a < b").select("a", "b").distinct(), signed, threshold)
-    found = found.unionByName(crowded(met.filter(F.col("n") > FEW).select("bucket", "id"), signed, threshold))
+    pairs = few.select("bucket", F.col("id").alias("a")).join(other, "bucket").filter("a < b").select("a", "b").distinct()
+    left = stored(pruned(pairs, signed, threshold).distinct())
+    ids = left.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowd.select(F.col("id").alias("key"))).distinct()
+    wanted = ids.join(signed.select(F.col("id").alias("key"), "same"), "key")
+    held = rows.join(ids, "key").mapInPandas(*_sets(width, kind, True)).join(wanted, ["key", "same"]).dropDuplicates(["key", "same"])
+    held = stored(held.select(F.col("key").alias("id"), "sh"))
+    found = verified(left, held, threshold).unionByName(crowded(crowd, signed, held, threshold))
     return members, found.distinct()
 
 

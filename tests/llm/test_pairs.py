@@ -78,6 +78,17 @@ def test_starts_leave_no_gap():
         assert np.diff(np.concatenate(([-1], at, [len(points)]))).max() <= 50
 
 
+def test_a_long_passage_in_many_texts_costs_its_pairs(spark):
+    rng = random.Random(21)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    hot, texts = fresh(1500), {}
+    for k in range(250):  # whole, cut off in front, and cut off behind
+        texts[k] = fresh(rng.randrange(40)) + (hot, hot[k * 3 :], hot[: 1500 - k * 3])[k % 3] + fresh(rng.randrange(40))
+    texts[900] = hot + fresh(5) + hot
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    assert {(r.a, r.b) for r in spans.shared_spans(df)[0].collect()} == naive_shared(texts, 300)
+
+
 # ---- near duplicates
 
 
@@ -132,7 +143,7 @@ def test_links_of_a_crowd_are_those_of_brute_force(spark, monkeypatch, few, most
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_a_chain_in_a_crowd_holds_together(spark, monkeypatch, kind):
     """The middle one is alike to both ends, which are not alike; all three meet in the only bucket there is."""
-    for name, value in {"FEW": 1, "BANDS": 1, "ROWS": 1}.items():
+    for name, value in {"FEW": 1, "ROWS": 1, "bands_for": lambda threshold: 1}.items():
         monkeypatch.setattr(neardup, name, value)
     words = next(w for w in ([f"{s}w{k}" for k in range(120)] for s in range(50)) if len({int(neardup.minhash(neardup.shingles(" ".join(w[k : k + 100]), 1), 1 + neardup.CHECKS)[0]) for k in (0, 10, 20)}) == 1)
     df = spark.createDataFrame([(k, " ".join(words[k * 10 : k * 10 + 100])) for k in range(3)], "k bigint, t string").withColumn("k", F.col("k").cast(kind))
@@ -140,6 +151,18 @@ def test_a_chain_in_a_crowd_holds_together(spark, monkeypatch, kind):
     assert got == {0: (0, 1), 1: (0, 2), 2: (0, 1)}
 
 
+def test_bands_miss_little():
+    for threshold in (0.75, 0.8, 0.95):
+        n = neardup.bands_for(threshold)
+        assert (1 - threshold**neardup.ROWS) ** n <= neardup.MISS < (1 - threshold**neardup.ROWS) ** (n - 1)
+
+
+def test_a_key_with_several_texts_is_linked_by_any(spark):
+    a, b = (" ".join(f"{s}{k}" for k in range(60)) for s in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "nothing like it at all")], "k bigint, t string")
+    assert {(r.k, r.group) for r in neardup.groups(df, "k", "t", width=2, threshold=0.75).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_pruning_keeps_what_is_alike():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (4000, neardup.CHECKS), np.uint8)
