@@ -1,14 +1,16 @@
 """Filling fixed-capacity containers with texts by bin completion (problem 9).
 
 Only sizes matter, and there are at most ``capacity`` different ones, so branch and bound runs on the histogram of
-sizes: a table of bounded size whatever the corpus.  It takes the largest size left, enumerates the undominated ways
-to fill the room beside it, keeps the best-fit filling as incumbent, prunes by the waste that is still reachable, and
-repeats the winner as often as the counts allow.  The plan it makes says which ranks of a size go to which container;
-ranks are given to the texts in parallel.
+sizes: a table of bounded size whatever the corpus.  Best fit decreasing is the incumbent; a plan that beats it may
+waste so much in all and no more.  The search takes the largest size left, enumerates the undominated fillings of the
+room beside it whose waste the plan can still bear, least waste first, repeats one as often as the counts allow, and
+goes back to the container before where none is left.  The plan it makes says which ranks of a size go to which
+container; ranks are given to the texts in parallel.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,54 +22,72 @@ from evidencia.llm.tokens import count_ids
 from evidencia.runtime import slots, stored, table
 
 CAPACITY = 2048
-#: Nodes that one search may visit before the incumbent stands.
-NODES = 4000
+#: Nodes that one container's search may visit, fillings it hands on, and containers tried before the incumbent stands.
+NODES, WIDTH, TRIES = 1000, 4, 8_000
+
+
+def sums(sizes: list[int], room: int) -> dict[int, int]:
+    """For each size, as bits, the sums up to ``room`` that it and the smaller ones can make, taken any number of times."""
+    out, reach, full = {}, 1, (1 << room + 1) - 1
+    for s in sorted(sizes):
+        step = s
+        while step <= room:
+            reach |= reach << step & full
+            step *= 2
+        out[s] = reach
+    return out
+
+
+def dominated(filling: list[int], rest: int, left: set[int]) -> bool:
+    """Another filling is never worse: one more item fits, or one at hand fits in the place of a smaller one or of two."""
+    if any(s in left for s in range(1, rest + 1)):
+        return True
+    one = ((x + 1, x + rest) for x in set(filling))
+    two = ((x + y, x + y + rest) for x, y in set(itertools.combinations(filling, 2)))
+    return any(s in left for low, high in itertools.chain(one, two) for s in range(low, high + 1))
 
 
-def completion(counts: np.ndarray, room: int, order: np.ndarray, nodes: int = NODES) -> list[int]:
-    """Sizes that fill ``room`` with the least waste found.
+def fillings(counts: np.ndarray, room: int, most: int, reach: dict[int, int] | None = None) -> list[list[int]]:
+    """Up to WIDTH undominated fillings of ``room`` that waste at most ``most``, least waste first.
 
-    counts[s]: items of size s at hand (not changed); order: all sizes, those to be tried first first.  Branches follow
-    that order, so that each multiset is met once; a filling beside which another item would still fit is dominated
-    and never kept.
+    counts[s]: items of size s at hand; reach: ``sums`` of these sizes or more.  Sizes are tried in falling order, so that
+    each multiset is met once; a branch is left where even the best sum that its sizes can make wastes too much.  The
+    waste allowed widens until there are fillings, so that tight ones are not looked for among loose ones.
     """
-    have = [s for s in order.tolist() if s <= room and counts[s]]
+    have = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
     if not have:
-        return []
-    smallest = min(have)
-    best: list[int] = []
-    rest = room
-    for s in sorted(have, reverse=True):  # best fit decreasing is the incumbent
-        n = min(int(counts[s]), rest // s)
-        best += [s] * n
-        rest -= s * n
-    waste, seen = rest, 0
-    if not waste and have == sorted(have, reverse=True):
-        return best
-    if not waste:
-        waste = 1  # the order may know a filling as good
-
+        return [[]] if room <= most else []
+    reach = reach if reach is not None else sums(have, room)
+    number = {s: int(counts[s]) for s in have}
     chosen: list[int] = []
+    found: list[tuple[int, list[int]]] = []
+    seen = 0
 
-    def branch(rest: int, start: int) -> None:
-        nonlocal best, waste, seen
-        if rest < waste:
-            best, waste = chosen.copy(), rest
-        if rest < smallest or not waste or seen >= nodes:
-            return
+    def branch(rest: int, start: int, worst: int) -> None:
+        nonlocal seen
+        if rest <= worst and not dominated(chosen, rest, {s for s in have if number[s]}):
+            found.append((rest, chosen.copy()))
         for at in range(start, len(have)):
             s = have[at]
-            if s > rest or chosen.count(s) >= counts[s]:
+            if s > rest or not number[s]:
                 continue
+            best = (reach[s] & (1 << rest + 1) - 1).bit_length() - 1
+            if rest - best > worst or seen >= NODES or len(found) >= WIDTH:
+                return  # the smaller sizes alone make fewer sums still
             seen += 1
+            number[s] -= 1
             chosen.append(s)
-            branch(rest - s, at)
+            branch(rest - s, at, worst)
             chosen.pop()
-            if not waste or seen >= nodes:
-                return
+            number[s] += 1
 
-    branch(room, 0)
-    return best
+    worst = 0
+    while True:
+        seen = 0
+        branch(room, 0, worst)
+        if found or worst >= most:
+            return [f for _, f in sorted(found, key=lambda x: x[0])]
+        worst = min(most, 4 * worst + 1)
 
 
 def _slots(fillings: list[tuple[list[int], int]], most: int) -> pd.DataFrame:
@@ -85,22 +105,41 @@ def _slots(fillings: list[tuple[list[int], int]], most: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "start", "times", "each", "container", "at"]).sort_values(["size", "start"], ignore_index=True)
 
 
-def complete(counts: np.ndarray, capacity: int, abundant: bool) -> list[tuple[list[int], int]]:
-    """Fillings around the largest size left, one after the other."""
+def complete(counts: np.ndarray, capacity: int, waste: int, tries: int = TRIES) -> list[tuple[list[int], int]] | None:
+    """Fillings around the largest size left that waste at most ``waste`` in all, or None if ``tries`` containers find none."""
     counts = counts.copy()
-    falling = np.arange(capacity, 0, -1)
-    out = []
-    while counts.any():
-        top = int(np.flatnonzero(counts)[-1])
-        order = falling[np.argsort(-(counts[falling] * falling), kind="stable")] if abundant else falling
-        counts[top] -= 1
-        filling = [top, *completion(counts, capacity - top, order)]
-        counts[top] += 1
+    path: list[tuple[list[int], int, int, list]] = []  # filling, times, its waste in all, fillings not tried yet
+    todo: list | None = None
+    reach = sums([int(s) for s in np.flatnonzero(counts) if s], capacity)  # of all sizes: a bound for those left, too
+    for _ in range(tries):
+        if todo is None:
+            if not counts.any():
+                return [(f, n) for f, n, _, _ in path]
+            top = int(np.flatnonzero(counts)[-1])
+            counts[top] -= 1
+            todo = [[top, *f] for f in fillings(counts, capacity - top, waste, reach)]
+            counts[top] += 1
+        if not todo:
+            if not path:
+                return None
+            filling, times, lost, todo = path.pop()
+            sizes, each = np.unique(filling, return_counts=True)
+            counts[sizes] += each * times
+            waste += lost
+            continue
+        filling, todo = todo[0], todo[1:]
         sizes, each = np.unique(filling, return_counts=True)
         times = int((counts[sizes] // each).min())
+        rest = capacity - sum(filling)
+        if rest:
+            times = min(times, waste // rest)
+        if not times:
+            continue
         counts[sizes] -= each * times
-        out.append((filling, times))
-    return out
+        waste -= rest * times
+        path.append((filling, times, rest * times, todo))
+        todo = None
+    return None
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -138,15 +177,22 @@ def containers(made: pd.DataFrame) -> int:
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
     """Slots (size, start, times, each, container, at): ranks of a size from ``start`` on, ``each`` a container.
 
-    counts[s]: items of size s, 0 < s <= capacity.  Containers are numbered from 0 without gaps.  Best fit decreasing is
-    the incumbent of the whole; completion with large sizes first, then with the sizes that make up most of what is
-    left, replaces it where that takes fewer containers, until the bound that the sum of sizes gives is reached.
+    counts[s]: items of size s, 0 < s <= capacity.  Containers are numbered from 0 without gaps.  Where best fit decreasing
+    takes no more containers than the sum of sizes needs, nothing can beat it and it is the plan; otherwise the search
+    is asked for as many as the sum needs, and then, halving, for more; each time it may try half of what is left of
+    TRIES containers.
     """
-    bound = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
-    best = _slots(best_fit(counts, capacity), len(counts))
-    for abundant in (False, True):
-        if containers(best) > bound:
-            best = min((_slots(complete(counts, capacity, abundant), len(counts)), best), key=containers)
+    total = int((counts * np.arange(len(counts))).sum())
+    best, low = _slots(best_fit(counts, capacity), len(counts)), -(-total // capacity)
+    asked, tries = low, TRIES
+    while containers(best) > low:
+        tries //= 2
+        found = complete(counts, capacity, asked * capacity - total, tries)
+        if found is None:
+            low = asked + 1
+        else:
+            best = _slots(found, len(counts))
+        asked = (low + containers(best)) // 2
     return best
 
 

@@ -91,13 +91,42 @@ def best_fit(sizes, capacity):
 def test_packing_is_as_good_as_brute_force():
     import numpy as np
 
-    rng = random.Random(5)
-    for _ in range(30):
-        sizes = sorted((rng.randrange(1, 21) for _ in range(9)), reverse=True)
-        counts = np.bincount(sizes, minlength=21)
-        made = packing.plan(counts, 20)
-        n = packing.containers(made)
-        assert n <= brute(sizes, 20) + 1
+    rng, beaten = random.Random(5), 0
+    for _ in range(150):
+        capacity = rng.choice([20, 30, 50, 100])
+        sizes = sorted((rng.randrange(1, capacity * 7 // 10) for _ in range(rng.randrange(6, 11))), reverse=True)
+        made = packing.plan(np.bincount(sizes, minlength=capacity + 1), capacity)
+        assert packing.containers(made) == brute(sizes, capacity)
+        beaten += packing.containers(made) < best_fit(sizes, capacity)
+    assert beaten  # best fit alone is not always enough
+
+
+def test_completion_beats_best_fit_on_many_items():
+    import numpy as np
+
+    sizes = np.random.default_rng(1).integers(200, 700, 2000)
+    counts = np.bincount(sizes, minlength=CAPACITY + 1)
+    incumbent = packing.containers(packing._slots(packing.best_fit(counts, CAPACITY), CAPACITY + 1))
+    made = packing.plan(counts)
+    assert -(-int(sizes.sum()) // CAPACITY) <= packing.containers(made) < incumbent
+    taken = np.zeros(CAPACITY + 1, np.int64)
+    for r in made.itertuples():
+        taken[r.size] += r.times * r.each
+    assert (taken == counts).all()
+
+
+def test_fillings_are_undominated_and_within_the_waste():
+    import numpy as np
+
+    counts = np.bincount([9, 7, 5, 5, 4, 3, 2], minlength=21)
+    for room in range(1, 21):
+        for most in (0, 2, 20):
+            for f in packing.fillings(counts, room, most):
+                assert 0 <= room - sum(f) <= most and all(f.count(s) <= counts[s] for s in f)
+                left = {s for s in range(1, 21) if counts[s] > f.count(s)}
+                assert not any(s <= room - sum(f) for s in left) and not any(x < s <= x + room - sum(f) for x in f for s in left)
+    reach = packing.sums([3, 5], 11)
+    assert [k for k in range(12) if reach[5] >> k & 1] == [0, 3, 5, 6, 8, 9, 10, 11] and [k for k in range(12) if reach[3] >> k & 1] == [0, 3, 6, 9]
 
 
 def test_all_items_have_room(spark):
