@@ -3,14 +3,14 @@
 Each statement of a record gives figures and, as far as it names them, a scale (rupees, thousands, lakhs, crores) and
 a period (day, week, month, year).  What a statement leaves out is first taken from the sentence beside it.  What is
 then still open is solved by identities: statements of one record mean one amount, and amount = figure x scale x
-period factor, so the combination of units with the least sum of squared log residuals is chosen, the residual
-against the usual level standing in where a record has one statement only.  Solutions that are not unique are flagged.
+period factor, so the combination of units with the least sum of squared log residuals is chosen, of low and high ends
+alike, the residual against the usual level standing in where a record has one statement only.  That level and its
+spread are those of the statements that leave nothing open.  Solutions that are not unique are flagged.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
 from dataclasses import dataclass
@@ -18,8 +18,10 @@ from dataclasses import dataclass
 # fixed values: year = 12 months = 52 weeks, month = 30 days
 PER_MONTH = {"month": 1.0, "year": 1 / 12, "day": 30.0, "week": 52 / 12}
 SCALES = {"": 1.0, "k": 1e3, "l": 1e5, "cr": 1e7}
-#: The usual level where nothing else decides: log of rupees per month and its spread.
+#: The usual level, log of rupees per month, and its spread, where no record states a pay in full.
 LEVEL, SPREAD = math.log(28_000), 0.75
+#: Spread of the logs of statements that mean the same amount: rounding.
+SAME = 1e-2
 #: A second solution whose residual is no more than this above the best makes the best one not unique.
 MARGIN = 1.0
 
@@ -149,52 +151,70 @@ def fill(one: Stated | None, scale: str | None, period: str | None) -> Stated |
     return Stated(one.low, one.high, one.scale if one.scale is not None else scale, one.period or period)
 
 
-def solve(stated: list[Stated]) -> tuple[int, int, bool] | None:
+def amounts(one: Stated) -> list[tuple[str, str, float, float]]:
+    """(scale, period, log of the low end, of the high end) for all units that a statement may have."""
+    scales = [one.scale] if one.scale is not None else ["", "k", "l"]
+    periods = [one.period] if one.period else list(PER_MONTH)
+    logs = [math.log(max(x, 1e-9)) for x in (one.low, one.high)]
+    units = [(c, p, math.log(SCALES[c] * PER_MONTH[p])) for c in scales for p in periods]
+    return [(c, p, logs[0] + u, logs[1] + u) for c, p, u in units]
+
+
+def solve(stated: list[Stated], level: float = LEVEL, spread: float = SPREAD) -> tuple[int, int, bool] | None:
     """(low, high, unique) in whole rupees per month for the statements of one record, or None without any.
 
-    Open units run over all scales and periods.  Residuals: of each statement's log amount against the mean of all,
-    and of that mean against the usual level, in units of its spread.  A scale that is not stated is none, so long as
-    the amount is thinkable that way: a stated figure is not multiplied without need.
+    Residuals: of each statement's log amounts, low and high, against the means of all, and of the mean low end against
+    the usual level, in units of its spread.  A scale that is not stated is none, so long as the amount is thinkable
+    that way: a stated figure is not multiplied without need.  Equal statements count once, and all statements count:
+    each amount that one of them may mean is taken as the record's in turn, every statement takes the units that bring
+    it nearest, and the combinations so met are ranked by their residuals.
     """
+    stated = list(dict.fromkeys(stated))
     if not stated:
         return None
-    choices = []
-    for s in stated:
-        scales = [s.scale] if s.scale is not None else ["", "k", "l"]
-        periods = [s.period] if s.period else list(PER_MONTH)
-        choices.append([(c, p, math.log(max(s.low, 1e-9) * SCALES[c] * PER_MONTH[p])) for c in scales for p in periods])
-    ranked = []
-    for units in itertools.product(*choices):
-        logs = [u[2] for u in units]
-        mean = sum(logs) / len(logs)
-        spread = sum((x - mean) ** 2 for x in logs) / 1e-4
-        added = sum(0.5 for s, u in zip(stated, units) if s.scale is None and u[0])
-        ranked.append((spread + ((mean - LEVEL) / SPREAD) ** 2 + added, units))
-    ranked.sort(key=lambda x: x[0])
-    best = ranked[0]
-    monthly = lambda k, units, v: v * SCALES[units[k][0]] * PER_MONTH[units[k][1]]
+    choices = [amounts(s) for s in stated]
+    more = [[0.5 if s.scale is None and u[0] else 0.0 for u in own] for s, own in zip(stated, choices)]
+    ranked: dict[tuple[int, ...], float] = {}
+    for _, _, low, high in {u for own in choices for u in own}:
+        picked = tuple(min(range(len(own)), key=lambda k: ((own[k][2] - low) ** 2 + (own[k][3] - high) ** 2) / SAME**2 + extra[k]) for own, extra in zip(choices, more))
+        if picked in ranked:
+            continue
+        ends = [[own[k][e] for own, k in zip(choices, picked)] for e in (2, 3)]
+        means = [sum(x) / len(x) for x in ends]
+        apart = sum((x - m) ** 2 for xs, m in zip(ends, means) for x in xs) / SAME**2
+        ranked[picked] = apart + ((means[0] - level) / spread) ** 2 + sum(extra[k] for extra, k in zip(more, picked))
+    order = sorted(ranked, key=lambda p: (ranked[p], p))
+    units = [own[k] for own, k in zip(choices, order[0])]
     known = next((k for k, s in enumerate(stated) if s.scale is not None and s.period), 0)
-    low, high = (math.floor(monthly(known, best[1], v) + 0.5 + 1e-9) for v in (stated[known].low, stated[known].high))
-    other = next((x for x in ranked[1:] if abs(sum(u[2] for u in x[1]) - sum(u[2] for u in best[1])) > 1e-6), None)
-    return low, high, other is None or other[0] - best[0] > MARGIN
+    factor = SCALES[units[known][0]] * PER_MONTH[units[known][1]]
+    low, high = (math.floor(v * factor + 0.5 + 1e-9) for v in (stated[known].low, stated[known].high))
+    total = lambda p: sum(own[k][2] for own, k in zip(choices, p))
+    other = next((p for p in order[1:] if abs(total(p) - total(order[0])) > 1e-6), None)
+    return low, high, other is None or ranked[other] - ranked[order[0]] > MARGIN
+
+
+def log_amount(stated: list[Stated]) -> float | None:
+    """Log of the low end in rupees per month of the first statement that leaves nothing open, if there is one."""
+    one = next((s for s in stated if s.scale is not None and s.period and s.low > 0), None)
+    return None if one is None else amounts(one)[0][2]
 
 
-def offer(pay: str | None, text: str | None) -> tuple[int, int, bool] | None:
-    """Pay of a message: its pay field, with what that leaves out from the line it stands in; else a labelled line."""
+def offer(pay: str | None, text: str | None) -> list[Stated]:
+    """What a message says of its pay: its pay field, with what that leaves out from the line it stands in; else a labelled line."""
     one = whole(pay)
     if one is None:
         line = _LINE.search(text or "")
         found = labelled(line[0]) if line else None
-        return solve([fill(found, *beside(line[0]))]) if found else None
+        return [fill(found, *beside(line[0]))] if found else []
     if one.scale is None or one.period is None:
         line = next((x for x in (text or "").split("\n") if pay in x and LABEL.search(x)), "")
         scale, period = beside(line.replace(pay, " "))
         one = fill(one, scale, period)
-    return solve([one])
+    return [one]
 
 
-def listing(salary: str | None, extensions, description: str | None) -> tuple[int, int, bool] | None:
-    """Pay of a listing: from its salary, an extension, or its description, completed from the description."""
+def listing(salary: str | None, extensions, description: str | None) -> list[Stated]:
+    """What a listing says of its pay: in its salary, its extensions, and its description, completed from the description."""
     found = [whole(salary)]
     for x in extensions if extensions is not None else ():
         one = whole(x)
@@ -205,4 +225,4 @@ def listing(salary: str | None, extensions, description: str | None) -> tuple[in
     if any(x.scale is None or x.period is None for x in found):
         scale, period = beside(description)
         found = [fill(x, scale, period) if x.period is None else x for x in found]
-    return solve(found[:3])
+    return found

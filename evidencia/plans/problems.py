@@ -34,10 +34,10 @@ def _flat(name: str, columns: list[str]):
 p7_searches = _flat(nested.ROOT, ["engine", "recordedAt", "params.q", "params.location", "params.place_id"])
 p7_listings = _flat("jobs_results", ["title", "company_name", "location", "detected_extensions.salary", "description"])
 p7_extensions = _flat("extensions", [])
-p7_places = _flat("local_results", ["title", "place_id", "type", "address", "rating", "reviews"])
+p7_places = _flat("local_results", ["title", "place_id", "type", "address", "rating double", "reviews bigint"])
 
 
-def _pay(frames):
+def _stated(frames):
     import pandas as pd
 
     for f in frames:
@@ -45,16 +45,30 @@ def _pay(frames):
         for src, key, pay, text, more in zip(f["src"], f["rec_id"], f["pay"], f["text"], f["more"]):
             got = units.offer(pay, text) if src == "offer" else units.listing(pay, more, text)
             if got:
-                out.append((src, key, *got))
-        yield pd.DataFrame(out, columns=["src", "rec_id", "low_inr", "high_inr", "is_unique"])
+                out.append((src, key, *([getattr(s, c) for s in got] for c in ("low", "high", "scale", "period")), units.log_amount(got)))
+        yield pd.DataFrame(out, columns=["src", "rec_id", "low", "high", "scale", "period", "amount"])
 
 
 def _pays(spark, sf_dir: str) -> DataFrame:
-    """Pay of every message and listing that states one; a record delivered twice counts once."""
+    """Pay of every message and listing that states one; a record delivered twice counts once.
+
+    What the records say is read and stored first; the usual level is the mean of what leaves nothing open.
+    """
     offers = table(spark, sf_dir, "offers", "offer_id", "pay_raw", "source_text").select(F.lit("offer").alias("src"), F.col("offer_id").alias("rec_id"), F.col("pay_raw").alias("pay"), F.col("source_text").alias("text"), F.lit(None).cast("array<string>").alias("more"))
     listings = table(spark, sf_dir, "job_listings", "listing_id", "detected_extensions", "extensions", "description").select(F.lit("listing").alias("src"), F.col("listing_id").alias("rec_id"), F.col("detected_extensions.salary").alias("pay"), F.col("description").alias("text"), F.col("extensions").alias("more"))
-    rows = spread(offers).unionByName(spread(listings))
-    return rows.mapInPandas(_pay, "src string, rec_id bigint, low_inr bigint, high_inr bigint, is_unique boolean").distinct()
+    schema = "src string, rec_id bigint, low array<double>, high array<double>, scale array<string>, period array<string>, amount double"
+    said = stored(spread(offers).unionByName(spread(listings)).mapInPandas(_stated, schema))
+    level, deviation, n = said.agg(F.avg("amount"), F.stddev_pop("amount"), F.count("amount")).first()
+    usual = (level, max(deviation, 0.1)) if n > 1 else (units.LEVEL, units.SPREAD)
+
+    def solve(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = [(src, key, *units.solve([units.Stated(*s) for s in zip(*columns)], *usual)) for src, key, *columns in zip(f["src"], f["rec_id"], f["low"], f["high"], f["scale"], f["period"])]
+            yield pd.DataFrame(out, columns=["src", "rec_id", "low_inr", "high_inr", "is_unique"])
+
+    return said.drop("amount").mapInPandas(solve, "src string, rec_id bigint, low_inr bigint, high_inr bigint, is_unique boolean").distinct()
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:

@@ -43,9 +43,48 @@ def test_nested_empty_table(spark):
     assert nested.shred(spark.createDataFrame([], "rec_id int, body string"), "rec_id", "body").count() == 0
 
 
-def test_nested_deep_body_is_left_out(spark):
-    deep = "[" * 100_000 + "]" * 100_000
-    assert nested.shred(spark.createDataFrame([(1, deep), (2, '{"a": 1}')], "k int, body string"), "k", "body").count() == 1
+def test_nested_bodies_of_any_depth(spark):
+    lists = "[" * 100_000 + "]" * 100_000
+    node = '{"node": ' * 10_000 + '{"name": "leaf", "many": ' + "[" * 3000 + "]" * 3000 + "}" + "}" * 10_000
+    wrapped = '{"a": 1}'
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    df = spark.createDataFrame([(1, lists), (2, '{"a": 1}'), (3, node), (4, node[:-1]), (5, wrapped)], "k int, body string")
+    got = {r.k: r for r in nested.shred(df, "k", "body").groupBy("k").agg(F.count("*").alias("n"), F.max("cols.name").alias("leaf"), F.max("cols.a").alias("a")).collect()}
+    assert got[2].n == got[5].n == 1 and got[5].a == "1" and got[3].n == 10_002 and got[3].leaf == "leaf" and 4 not in got and 1 not in got
+
+
+def test_deep_parser_is_the_usual_one():
+    rng = random.Random(4)
+
+    def some(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return [None, True, rng.randrange(-9, 10**12), rng.random() * 10**rng.randrange(-20, 20), "a\"\\\n{[é" * rng.randrange(3)][kind]
+        return [some(depth - 1) for _ in range(rng.randrange(4))] if kind < 7 else {f"k{n}": some(depth - 1) for n in range(rng.randrange(4))}
+
+    for _ in range(400):
+        v = some(4)
+        assert nested.deep_loads(json.dumps(v, indent=rng.choice([None, 1]))) == v
+    for bad in ("", "{", "[1,]", '{"a" 1}', "[1 2]", "{1: 2}", '{"a": }', "[}", "1 2", "tru", "[1]]", '{"a": 1,}', ":", ",", '"open', "NaN"):
+        with pytest.raises(ValueError):
+            nested.deep_loads(bad)
+
+
+def test_nested_tables_are_typed(spark):
+    bodies = [(1, json.dumps({"p": {"q": 1, "ok": True}, "xs": [{"r": 1}, {"r": 2.5}], "m": 1})), (2, json.dumps({"p": {"q": 2}, "xs": {"r": 3}, "m": "x"}))]
+    df = spark.createDataFrame(bodies, "k int, body string")
+    schema = nested.analyse(df, "body")
+    made = nested.tables(nested.shred(df, "k", "body", schema), "k", schema)
+    assert set(made) == {"", "xs"}
+    assert dict(made[""].dtypes) | {"p_q": "bigint", "p_ok": "boolean", "m": "string"} == dict(made[""].dtypes)
+    assert sorted((r.k, r.pos, r.r) for r in made["xs"].collect()) == [(1, 0, 1.0), (1, 1, 2.5), (2, 0, 3.0)]
+
+
+def test_names_that_are_data_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nested, "EDGES", 5)
+    with pytest.raises(ValueError):
+        nested.analyse(spark.createDataFrame([(json.dumps({f"id{k}": k for k in range(9)}),)], "body string"), "body")
 
 
 # ---- pay
@@ -90,14 +129,14 @@ def test_pay_fields(text, want):
     ],
 )
 def test_pay_of_listings(salary, extensions, description, want):
-    got = units.listing(salary, extensions, description)
+    got = units.solve(units.listing(salary, extensions, description))
     assert (got[:2] if got else None) == want
 
 
 def test_pay_of_messages():
-    assert units.offer("44.5", "x\nSalary: 44.5 (in thousand rupees, every month)")[:2] == (44500, 44500)
-    assert units.offer("₹ 6.16 lac", "Salary: ₹ 6.16 lac, paid as a yearly figure")[:2] == (51333, 51333)
-    assert units.offer(None, "pay ₹500 as fee") is None
+    assert units.solve(units.offer("44.5", "x\nSalary: 44.5 (in thousand rupees, every month)"))[:2] == (44500, 44500)
+    assert units.solve(units.offer("₹ 6.16 lac", "Salary: ₹ 6.16 lac, paid as a yearly figure"))[:2] == (51333, 51333)
+    assert units.offer(None, "pay ₹500 as fee") == []
 
 
 def test_units_by_identity():
@@ -107,6 +146,20 @@ def test_units_by_identity():
     assert not unique and low == high
 
 
+def test_every_statement_counts_and_so_do_high_ends():
+    open_ = units.Stated(30, 30, None, None)
+    assert units.solve([open_, units.Stated(30, 30, "k", None), units.Stated(30_000, 30_000, "", None), units.Stated(3.6, 3.6, "l", "year")]) == (30000, 30000, True)
+    # low ends agree by the day and by the month alike; the high end tells which
+    a, b = units.Stated(1000, 2000, "", None), units.Stated(30_000, 60_000, "", "month")
+    assert units.solve([a, b]) == (30000, 60000, True)
+    many = [units.Stated(30 + k / 1e4, 30, None, None) for k in range(12)] + [units.Stated(30_000, 30_000, "", "month")]
+    assert units.solve(many)[:2] == (30000, 30000)  # grows with the statements, not with the product of their units
+    # the level of the other records decides what one statement alone leaves open
+    assert units.solve([units.Stated(900, 900, "", None)], level=units.math.log(27_000), spread=0.3) == (27000, 27000, True)
+    assert units.solve([units.Stated(900, 900, "", None)], level=units.math.log(900), spread=0.3) == (900, 900, True)
+
+
+
 # ---- claims
 
 
