@@ -65,16 +65,27 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 @functools.lru_cache(maxsize=4)
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240611)
-    return rng.integers(1, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, np.uint64)
+    return rng.integers(0, 1 << 31, count, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
 
 
 def minhash(sh: np.ndarray, count: int) -> np.ndarray:
-    """``count`` MinHash values of 32 bits; long sets are taken in blocks."""
+    """``count`` MinHash values of 32 bits; long sets are taken in blocks that a core's cache holds."""
     mul, add = _functions(count)
-    low = np.full(count, np.uint64(2**64 - 1))
-    for k in range(0, len(sh), 512):
-        low = np.minimum(low, (sh[k : k + 512, None] * mul + add).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    short = (sh ^ (sh >> np.uint64(32))).astype(np.uint32)
+    low = np.full(count, np.uint32(2**32 - 1))
+    for k in range(0, len(short), 128):
+        low = np.minimum(low, (short[k : k + 128, None] * mul + add).min(axis=0))
+    return low
+
+
+def buckets(values: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit number for each band's values, the band's place mixed in."""
+    rows = values.reshape(bands, -1).astype(np.uint64)
+    h = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(rows.shape[1]):
+        h = (h ^ rows[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 @functools.lru_cache(maxsize=8)
@@ -127,8 +138,7 @@ def _signed(width: int, bands: int, kind: str):
                 got = known.get(same)
                 if got is None:
                     m = minhash(sh, bands * ROWS + CHECKS)
-                    buckets = [xxhash.xxh3_64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(bands)]
-                    got = buckets, (m[bands * ROWS :] & np.uint32(255)).astype(np.uint8).tobytes()
+                    got = buckets(m[: bands * ROWS], bands), (m[bands * ROWS :] & np.uint32(255)).astype(np.uint8).tobytes()
                     known = {} if len(known) >= REMEMBER else known
                     known[same] = got
                 out.append((key, same, *got))
