@@ -27,3 +27,14 @@ def knows(words: np.ndarray, digests: np.ndarray) -> np.ndarray:
     """Which digests' bits are set: all that were met, and by chance others."""
     bit = digests % BITS
     return (words[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def known_rows(rows: DataFrame, digest: str, met: DataFrame) -> DataFrame:
+    """``rows`` whose ``digest`` (bigint) stands in ``met``, and by chance others, without moving them.
+
+    The filter is joined as a broadcast table of BITS / 64 rows at most, so its size is bounded whatever ``met`` holds.
+    """
+    bit = F.pmod(F.col(digest), F.lit(BITS))
+    words = met.select(F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod({digest}, 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tested = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word")
+    return tested.filter(F.expr(f"shiftrightunsigned(_bits, cast(pmod({digest}, 64) as int)) & 1L = 1L")).select(*rows.columns)

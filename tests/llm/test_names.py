@@ -105,3 +105,34 @@ def test_a_name_without_its_line_decides_nothing_between_two(spark):
 
 def test_no_names(spark):
     assert orgnames.organisations(spark.createDataFrame([], "name string, n bigint")).count() == 0
+
+
+@pytest.mark.parametrize("word, line", [("phrma", "pharma"), ("txtls", "textiles"), ("lgstcs", "logistics"), ("mtrs", "motors"), ("technlogies", "technologies"), ("svcs", "services"), ("stmr", None), ("fields", None)])
+def test_lines_by_rule(word, line):
+    assert orgnames.line_of(word) == line
+
+
+MORE = [
+    ["William Harvel Dronsk Motors", "Bill Harvel Dronsk Motors", "Dronsk William Harvel Motors", "W H D Motors"],
+    ["Kestrin Brothers", "Kestrin Bros"],
+    ["Golvanesk Pirrundal Shastrovik Trelembrad Uvonkrest Hanjaddu", "Trelembrad Golvanesk Pirrundal Shastrovik Uvonkrest Hanjadu Ltd"],
+]
+
+
+def test_nicknames_order_initials_and_long_names(spark):
+    rows = [(n, 9 - k) for g in MORE for k, n in enumerate(g)]
+    got = {r.name: r.org for r in orgnames.organisations(spark.createDataFrame(rows, "name string, n bigint")).collect()}
+    for g in MORE:
+        assert len({got[n] for n in g}) == 1, g
+    assert len(set(got.values())) == len(MORE)
+
+
+def test_forms_of_a_name_of_any_length_are_few():
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    assert len(list(orgnames.own_forms("".join(words), words))) < 400
+
+
+def test_a_form_that_very_many_names_share(spark):
+    rows = [(f"Drovikan {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", 1) for k in range(600)] + [("Drovikan", 5)]
+    got = {r.name: r.org for r in orgnames.organisations(spark.createDataFrame(rows, "name string, n bigint")).collect()}
+    assert len(got) == 601
