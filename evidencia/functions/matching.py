@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidencia.functions.cities import CITIES
+from evidencia.functions.domains import host_of, registrable_domain
 from evidencia.functions.text import LEGAL_TAIL, folded, tokens
 
 # fixed values: words that name no role, no organisation of their own, and no place
 ROLE_FILLER = "a an the and of for in at wfh remote work from home fresher freshers urgent hiring".split()
 OFFICE = "india office offices branch head headquarters hq corporate regional zonal campus centre center plant unit".split()
 KIND = "technologies solutions services infotech consultancy consultants enterprises industries systems llc pte corporation".split()
-CITY = (
-    "bengaluru mumbai navi thane delhi gurugram noida greater ghaziabad faridabad pune hyderabad secunderabad chennai kolkata ahmedabad "
-    "gandhinagar surat vadodara rajkot jaipur jodhpur udaipur kota indore bhopal gwalior jabalpur lucknow kanpur agra varanasi prayagraj "
-    "meerut bareilly aligarh gorakhpur patna ranchi jamshedpur dhanbad bhubaneswar cuttack raipur nagpur nashik aurangabad kolhapur "
-    "chandigarh mohali ludhiana amritsar jalandhar dehradun shimla jammu srinagar guwahati siliguri durgapur kochi thiruvananthapuram "
-    "kozhikode thrissur coimbatore madurai tiruchirappalli salem mysuru mangaluru hubballi belagavi visakhapatnam vijayawada guntur "
-    "warangal panaji puducherry bangalore bombay new gurgaon madras calcutta baroda allahabad cochin trivandrum calicut trichy mysore "
-    "mangalore hubli belgaum vizag pondicherry"
-).split()
+#: Every name of a city, in small letters, with the one it has today; and today's names with all others.
+NAMES = {k: v.lower() for k, v in CITIES.items()}
+ALIASES: dict[str, list[str]] = {}
+for _k, _v in NAMES.items():
+    ALIASES.setdefault(_v, []).append(_k)
+CITY = sorted({w for name in NAMES for w in name.split()})
 REMOTE = r"(?i)\b(?:anywhere|remote|work\s+from\s+home)\b"
 
 
@@ -66,6 +65,44 @@ def in_place(location: Column, place: Column) -> Column:
     return (own != "") & F.concat(F.lit(" "), folded(location), F.lit(" ")).contains(F.concat(F.lit(" "), own, F.lit(" ")))
 
 
+def in_city(location: Column, place: Column) -> Column:
+    """The location has the city under any of its names as whole words; a city off the list under its own name."""
+    spaced = F.concat(F.lit(" "), folded(location), F.lit(" "))
+    own = folded(place)
+    now = F.coalesce(F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, v)])[own], own)
+    known = F.create_map(*[x for name, every in ALIASES.items() for x in (F.lit(name), _words(every))])[now]
+    every = F.array_union(F.array(own, now), F.coalesce(known, F.array().cast("array<string>")))
+    return (own != "") & F.exists(every, lambda n: spaced.contains(F.concat(F.lit(" "), n, F.lit(" "))))
+
+
+def names_a_city(location: Column) -> Column:
+    spaced = F.concat(F.lit(" "), folded(location), F.lit(" "))
+    return F.exists(_words(NAMES), lambda n: spaced.contains(F.concat(F.lit(" "), n, F.lit(" "))))
+
+
+def near(location: Column, place: Column) -> Column:
+    """In the city, or at a place that is neither remote nor in another city of the list, such as a suburb."""
+    return in_city(location, place) | (~is_remote(location) & ~names_a_city(location))
+
+
+def official_domain(results: Column, company: Column) -> Column:
+    """The domain of the first result (link, title) whose label is the whole name run together; failing that, of the first
+    whose label of four letters or more begins the name with whole words and whose title mentions it."""
+    own = name_tokens(company)
+    whole = F.array_join(own, "")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda n: F.array_join(F.slice(own, F.lit(1), n), ""))
+
+    def judged(r: Column) -> Column:
+        domain = registrable_domain(host_of(r["link"]))
+        label = F.replace(F.substring_index(domain, ".", 1), F.lit("-"), F.lit(""))
+        part = (F.size(own) > 1) & (F.length(label) >= 4) & F.array_contains(starts, label) & mentions(r["title"], company)
+        return F.struct(domain.alias("domain"), F.when(label == whole, 0).when(part, 1).alias("rank"))
+
+    fitting = F.filter(F.transform(results, judged), lambda x: x["rank"].isNotNull() & (whole != ""))
+    first = F.filter(fitting, lambda x: x["rank"] == F.array_min(F.transform(fitting, lambda y: y["rank"])))
+    return F.get(first, F.lit(0))["domain"]
+
+
 def is_remote(location: Column) -> Column:
     return location.rlike(REMOTE)
 
@@ -74,3 +111,9 @@ def carries_phone(text: Column, phone: Column) -> Column:
     """The last ten digits of ``phone`` stand in the text, whatever separates them."""
     digits = F.right(F.regexp_replace(phone, r"\D", ""), F.lit(10))
     return (F.length(digits) == 10) & F.regexp_replace(text, r"[\s().+-]", "").contains(digits)
+
+
+def carries_contact(text: Column, contact: Column) -> Column:
+    """A number as ``carries_phone`` finds it, or a whole address, no part of a longer one."""
+    known = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_.%+-]+@[a-z0-9.-]+)"), F.lit(1)), lambda x: F.rtrim(x, F.lit(".-")))
+    return F.when(contact.contains("@"), F.array_contains(known, F.lower(contact))).otherwise(carries_phone(text, contact))

@@ -5,6 +5,8 @@ A null text gives null (predicates: null), an empty one the empty result.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +19,29 @@ LEGAL = r"(?i)(?:[\s,]+(?:" + "|".join(LEGAL_TAIL) + r")\.?)+[.,\s]*$"
 SENTENCE_END = r"[!?]+|\n|\.(?:\s|$)"
 EMAIL = r"[A-Za-z0-9_.%+*-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 MOBILE = r"(?:\+?91[ -]?)?[6-9][0-9]{4}[ .-]?[0-9]{5}"
+WORDS = r"[\p{L}\p{M}\p{N}_@.+-]+"
 LONG_HEX = r"[0-9a-fA-F]{64,}"
+# fixed value: a key in an address or a line, up to what ends its value
 KEY_VALUE = r"(api_key=)[^&\s\"'<>]+"
 
 
+def _letters() -> tuple[str, str]:
+    """Characters outside ASCII that are one ASCII character with marks or in another width, and that character."""
+    found = {chr(c): a[0] for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)) if len(a := [x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii()]) == 1}
+    return "".join(found), "".join(found.values())
+
+
+LETTERS, PLAIN = _letters()
+
+
+def plain(text: Column) -> Column:
+    """Letters without their marks and in the usual width; what is no ASCII then is dropped."""
+    return F.regexp_replace(F.translate(text, LETTERS, PLAIN), r"[^\x00-\x7F]", "")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII words and numbers, `&` read as `and`."""
-    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("&"), F.lit(" and "))), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Lower-case words and numbers of the plain text, `&` read as `and`."""
+    return F.regexp_extract_all(F.lower(F.replace(plain(text), F.lit("&"), F.lit(" and "))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def folded(text: Column) -> Column:
@@ -32,8 +50,8 @@ def folded(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, with only words and the signs of addresses kept, single spaces between."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([\w@.+-]+)"), F.lit(1)), " ")
+    """Case folded, with only words of any script and the signs of addresses kept, single spaces between."""
+    return F.array_join(F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(f"({WORDS})"), F.lit(1)), " ")
 
 
 def search_name(company: Column) -> Column:
@@ -77,6 +95,11 @@ def redact_long(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.lit("["), F.length(text).cast("string"), F.lit(" characters]"))).otherwise(text)
 
 
+def redacted(text: Column, most: int = 200) -> Column:
+    """For logs: a long text as a note of its length, a short one without the local parts of addresses and without keys."""
+    return F.when(F.length(text) > most, redact_long(text, most)).otherwise(drop_keys(mask_emails(text)))
+
+
 def well_formed(value: Column) -> Column:
     """A number that JSON can hold: NaN and infinities become null."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)

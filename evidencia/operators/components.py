@@ -34,4 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"links still change after {ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -67,3 +67,39 @@ def cache_hits(df: DataFrame, key: str, at: str, ident: str, ttl_s: int = 86_400
 
     rows = df.select(ident, key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).repartition(F.col(key)).sortWithinPartitions(key, "_t", ident)
     return rows.mapInPandas(run, f"{ident} {kinds[ident]}, {key} {kinds[key]}, hit boolean")
+
+
+def case_parts(monthly: Column, fee: Column, fee_asked: Column, contacts: Column) -> list[Column]:
+    """Further parts of a fingerprint: pay a month, the fee (`asked` without an amount), contacts in order.
+
+    An offer at another pay or fee, or with other contacts, is another message.
+    """
+    return [monthly.cast("string"), F.coalesce(fee.cast("string"), F.when(fee_asked, F.lit("asked"))), F.array_join(F.array_sort(F.array_distinct(contacts)), " ")]
+
+
+def revised(current: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``current`` after updates that each name the revision they saw: (key, revision, columns, accepted).
+
+    An update holds only if the revision it saw is still the current one; of several, the first by ``at`` does, since the
+    others saw a revision that is no more.  ``accepted`` tells whether the key changed.
+    """
+    seen = updates.select(key, F.col("revision").alias("_seen"), "at", *[F.col(c).alias(f"_{c}") for c in columns])
+    met = seen.join(current.select(key, F.col("revision").alias("_seen")), [key, "_seen"])
+    best = met.groupBy(key).agg(F.min_by(F.struct(*[f"_{c}" for c in columns]), F.struct("at", *[f"_{c}" for c in columns])).alias("_new"))
+    joined = current.join(best, key, "left")
+    taken = F.col("_new").isNotNull()
+    return joined.select(key, (F.col("revision") + taken.cast("int")).alias("revision"), *[F.when(taken, F.col("_new")[f"_{c}"]).otherwise(F.col(c)).alias(c) for c in columns], taken.alias("accepted"))
+
+
+def difference(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Rows of two traces that differ, with how often each stands in the first and the second: nothing if they agree."""
+    columns = one.columns
+    both = one.withColumn("_side", F.lit(0)).unionByName(two.select(*columns).withColumn("_side", F.lit(1)))
+    counted = both.groupBy(*columns).agg(F.count_if(F.col("_side") == 0).alias("in_one"), F.count_if(F.col("_side") == 1).alias("in_two"))
+    return counted.filter("in_one <> in_two")
+
+
+def in_order(cases: DataFrame, opened: str, status: str | None = None) -> DataFrame:
+    """Cases as they were opened, all or those of one status; a snapshot, since it reads one version of its table."""
+    own = cases if status is None else cases.filter(F.col("status") == status)
+    return own.orderBy(opened)

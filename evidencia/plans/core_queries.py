@@ -101,7 +101,7 @@ def fraud_warnings(spark, sf_dir):
     return table(spark, sf_dir, "documents", "lang", "text").groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(T.warns_of_fraud(F.col("text"))).alias("warned"))
 
 
-@query(f"SELECT DISTINCT company, regexp_replace(regexp_replace(company, '{T.LEGAL}', ''), '[.,]+$', '') AS search_name, array_to_string(regexp_extract_all(lower(company), '[A-Za-z0-9_@.+-]+'), ' ') AS norm FROM offers WHERE company IS NOT NULL")
+@query(f"SELECT DISTINCT company, regexp_replace(regexp_replace(company, '{T.LEGAL}', ''), '[.,]+$', '') AS search_name, array_to_string(regexp_extract_all(replace(lower(company), 'ß', 'ss'), '{T.WORDS}'), ' ') AS norm FROM offers WHERE company IS NOT NULL")
 def company_forms(spark, sf_dir):
     """(company, search_name, norm): each company as it is searched and as it is compared."""
     c = F.col("company")
@@ -118,7 +118,15 @@ def link_domains(spark, sf_dir):
     return links.select(D.host_of(F.col("link")).alias("host")).groupBy("host").agg(F.count("*").alias("links")).select("host", D.registrable_domain(F.col("host")).alias("domain"), "links")
 
 
-@query()
+_SEEN = f"translate(strip_accents({{0}}), '{''.join(D.CONFUSABLE)}', '{''.join(D.CONFUSABLE.values())}')"
+_MAIL_LABELS = f"SELECT DISTINCT label, {_SEEN.format('label')} AS s FROM (SELECT split_part(regexp_replace(split_part(email, '@', 2), '^www\\.', ''), '.', 1) AS label FROM ({_EMAILS}))"
+_LINK_LABELS = f"SELECT DISTINCT brand, {_SEEN.format('brand')} AS s FROM (SELECT split_part(regexp_replace(regexp_extract(lower(link), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '.', 1) AS brand FROM organic_results WHERE link IS NOT NULL)"
+
+
+@query(
+    f"WITH a AS ({_MAIL_LABELS}), b AS ({_LINK_LABELS}), p AS (SELECT label, brand, a.s AS x, b.s AS y FROM a, b WHERE label <> brand) SELECT label, brand, reason FROM (SELECT label, brand, "
+    "CASE WHEN x = y THEN 'letters' WHEN len(y) > 3 AND contains(x, y) OR len(y) <= 3 AND list_contains(string_split(x, '-'), y) THEN 'contains' WHEN len(y) >= 5 AND damerau_levenshtein(x, y) <= CASE WHEN len(y) >= 9 THEN 2 ELSE 1 END THEN 'edits' END AS reason FROM p) WHERE reason IS NOT NULL"
+)
 def domain_lookalikes(spark, sf_dir):
     """(label, brand, reason): host labels in messages that imitate a label of result links."""
     label = lambda c: F.substring_index(c, ".", 1)
@@ -133,14 +141,18 @@ _KEYED = f"SELECT *, {_KEY} AS key FROM searches"
 
 
 def _searches(spark, sf_dir, *columns) -> DataFrame:
-    params = F.create_map(F.lit("engine"), F.col("engine"), F.lit("q"), F.col("q"), F.lit("location"), F.col("location"))
-    return table(spark, sf_dir, "searches", "engine", "q", "location", *columns).withColumn("key", R.params_key(params)).select("key", *columns)
+    return table(spark, sf_dir, "searches", "engine", "q", "location", *columns).withColumn("key", R.params_key(_params())).select("key", *columns)
+
+
+def _params():
+    return F.create_map(F.lit("engine"), F.col("engine"), F.lit("q"), F.col("q"), F.lit("location"), F.col("location"))
 
 
 @query(f"SELECT search_id, key, sha256(key) AS cache_key FROM ({_KEYED})")
 def request_keys(spark, sf_dir):
     """(search_id, key, cache_key): the canonical text of each search and its digest."""
-    return _searches(spark, sf_dir, "search_id").select("search_id", "key", F.sha2("key", 256).alias("cache_key"))
+    asked = table(spark, sf_dir, "searches", "search_id", "engine", "q", "location")
+    return asked.select("search_id", R.params_key(_params()).alias("key"), R.cache_key(_params()).alias("cache_key"))
 
 
 @query(f"SELECT key, search_id, provider FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY recorded_at DESC, search_id DESC) AS rn FROM ({_KEYED})) WHERE rn = 1")
@@ -164,20 +176,30 @@ def supersede_latest(spark, sf_dir):
     return lookups.latest(table(spark, sf_dir, "events", "user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"])
 
 
-_NORM = "array_to_string(regexp_extract_all(lower({0}), '[A-Za-z0-9_@.+-]+'), ' ')"
-_PRINT = f"SELECT DISTINCT offer_id, received_at, CASE WHEN company IS NOT NULL THEN 'sha256:' || left(sha256({_NORM.format(f'''regexp_replace(regexp_replace(company, '{T.LEGAL}', ''), '[.,]+$', '')''')} || '|' || coalesce({_NORM.format('role')}, '') || '|' || coalesce({_NORM.format('city')}, '')), 16) END AS print FROM offers"
+_NORM = "array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '" + T.WORDS.replace("{", "{{").replace("}", "}}") + "'), ' ')"
+_PHONES = f"list_transform(regexp_extract_all(source_text, '{T.MOBILE}'), lambda m: '+91 ' || right(regexp_replace(m, '[^0-9]', '', 'g'), 10)[1:5] || ' ' || right(regexp_replace(m, '[^0-9]', '', 'g'), 5))"
+_WHO = f"array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(source_text, '{T.EMAIL}'), lambda m: lower(m)), {_PHONES}))), ' ')"
+_PARTS = " || '|' || ".join(f"coalesce({_NORM.format(c)}, '')" for c in ("role", "city", "pay_raw", "fee_raw", "who"))
+_PRINT = f"SELECT DISTINCT offer_id, received_at, CASE WHEN company IS NOT NULL THEN 'sha256:' || left(sha256({_NORM.format(f'''regexp_replace(regexp_replace(company, '{T.LEGAL}', ''), '[.,]+$', '')''')} || '|' || {_PARTS}), 16) END AS print FROM (SELECT *, {_WHO} AS who FROM offers)"
 
 
 @query(f"WITH p AS ({_PRINT}) SELECT offer_id, print, nullif(CASE WHEN print IS NOT NULL THEN first_value(offer_id) OVER (PARTITION BY print ORDER BY received_at, offer_id) END, offer_id) AS same_as FROM p")
 def fingerprint_copies(spark, sf_dir):
-    """(offer_id, print, same_as): messages of one organisation, role and city, and the first of them."""
-    rows = table(spark, sf_dir, "offers", "offer_id", "received_at", "company", "role", "city")
-    rows = rows.select("offer_id", "received_at", lookups.fingerprint(F.col("company"), [F.col("role"), F.col("city")]).alias("print")).distinct()
+    """(offer_id, print, same_as): messages of one organisation, role, city, pay, fee and contacts, and the first of them.
+
+    Pay and fee count as they are written here; ``lookups.case_parts`` takes them as rupees.
+    """
+    text = F.col("source_text")
+    who = F.array_join(F.array_sort(F.array_distinct(F.concat(T.emails(text), T.mobiles(text)))), " ")
+    rows = table(spark, sf_dir, "offers", "offer_id", "received_at", "company", "role", "city", "pay_raw", "fee_raw", "source_text")
+    own = lookups.fingerprint(F.col("company"), [F.col("role"), F.col("city"), F.col("pay_raw"), F.col("fee_raw"), who])
+    rows = rows.select("offer_id", "received_at", own.alias("print")).distinct()
     return lookups.earliest_copy(rows, "offer_id", "print", ["received_at"])
 
 
-_TOK = "regexp_extract_all(lower(replace({0}, '&', ' and ')), '[a-z0-9]+')"
+_TOK = r"regexp_extract_all(lower(replace(regexp_replace(strip_accents({0}), '[^\x00-\x7F]', '', 'g'), '&', ' and ')), '[a-z0-9]+')"
 _FOLD = "array_to_string(" + _TOK + ", ' ')"
+_NAME = "trim(regexp_replace(' ' || {0}, '( (" + "|".join(T.LEGAL_TAIL) + "))+$', ''))"
 
 
 @query(
@@ -192,18 +214,21 @@ def role_matches(spark, sf_dir):
 
 
 @query(
-    f"WITH r AS (SELECT DISTINCT result_id, search_id, title, snippet FROM organic_results), t AS (SELECT r.result_id, {_FOLD.format('r.title')} AS title, {_FOLD.format('r.snippet')} AS snippet, {_FOLD.format('s.q')} AS q FROM r JOIN searches s USING (search_id)) "
+    f"WITH r AS (SELECT DISTINCT result_id, search_id, title, snippet FROM organic_results), t AS (SELECT r.result_id, {_FOLD.format('r.title')} AS title, {_FOLD.format('r.snippet')} AS snippet, {_NAME.format(_FOLD.format('s.q'))} AS q FROM r JOIN searches s USING (search_id)) "
     "SELECT result_id, coalesce(q <> '' AND contains(' ' || title || ' ', ' ' || q || ' '), false) AS in_title, coalesce(q <> '' AND contains(' ' || snippet || ' ', ' ' || q || ' '), false) AS in_snippet FROM t"
 )
 def name_mentions(spark, sf_dir):
-    """(result_id, in_title, in_snippet): results that carry the words searched as they are."""
+    """(result_id, in_title, in_snippet): results that mention the name searched, legal words at its end aside."""
     r = table(spark, sf_dir, "organic_results", "result_id", "search_id", "title", "snippet").distinct()
     s = table(spark, sf_dir, "searches", "search_id", "q")
-    has = lambda c: F.coalesce(M.in_place(F.col(c), F.col("q")), F.lit(False))
+    has = lambda c: F.coalesce(M.mentions(F.col(c), F.col("q")), F.lit(False))
     return r.join(s, "search_id").select("result_id", has("title").alias("in_title"), has("snippet").alias("in_snippet"))
 
 
-@query()
+@query(
+    f"WITH n AS (SELECT DISTINCT name, string_split({_NAME.format(_FOLD.format('name'))}, ' ') AS t FROM (SELECT company AS name FROM offers UNION ALL SELECT company_name FROM job_listings) WHERE name IS NOT NULL), own AS (SELECT name, t FROM n WHERE t[1] <> '') "
+    f"SELECT a.name AS short, b.name AS long FROM own a JOIN own b ON a.t[1] = b.t[1] AND len(a.t) <= len(b.t) AND b.t[1:len(a.t)] = a.t AND (len(a.t) < len(b.t) OR a.name < b.name) AND len(list_filter(b.t[len(a.t) + 1:], lambda x: x NOT IN ({_list([*M.OFFICE, *T.LEGAL_TAIL, *M.KIND, *M.CITY])}))) = 0"
+)
 def names_match(spark, sf_dir):
     """(short, long): companies of messages and listings one of which begins the other, met by its prefixes; of equal ones the lesser is short."""
     name = lambda t, c: table(spark, sf_dir, t, c).select(F.col(c).alias("name")).filter("name is not null").distinct()
@@ -290,6 +315,16 @@ def offer_spans(spark, sf_dir):
     return claims.extract(table(spark, sf_dir, "offers", "offer_id", "source_text"), "offer_id", "source_text").distinct()
 
 
+def _claimed(spark, sf_dir, kind: str) -> DataFrame:
+    return offer_spans(spark, sf_dir).filter(F.col("kind") == kind)
+
+
+@query(_EMAILS)
+def claimed_emails(spark, sf_dir):
+    """(offer_id, email): addresses as the claim reader finds them."""
+    return _claimed(spark, sf_dir, "email").select("offer_id", F.col("value").alias("email"))
+
+
 @query()
 def masked_listings(spark, sf_dir):
     """(listing_id, masked, left): descriptions with phone numbers masked, and numbers still found, which must be 0."""
@@ -301,3 +336,93 @@ def masked_listings(spark, sf_dir):
 def listing_pay_sentences(spark, sf_dir):
     """(listing_id, pay_text): what a description says about pay."""
     return table(spark, sf_dir, "job_listings", "listing_id", "description").filter("description is not null").distinct().select("listing_id", scrub.pay_sentences_column("description").alias("pay_text"))
+
+
+_PLACE = _FOLD.format("split_part(s.location, ',', 1)")
+_ON = "contains(' ' || loc || ' ', ' ' || {0} || ' ')"
+_NAMES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in M.NAMES.items()) + ") AS c(name, today)"
+
+
+@query(
+    f"WITH j AS (SELECT DISTINCT listing_id, search_id, location FROM job_listings), p AS (SELECT j.listing_id, j.search_id, {_FOLD.format('j.location')} AS loc, {_PLACE} AS own, j.location AS raw FROM j JOIN searches s USING (search_id) WHERE s.location IS NOT NULL AND j.location IS NOT NULL), "
+    f"m AS (SELECT p.*, EXISTS (SELECT 1 FROM {_NAMES} WHERE {_ON.format('c.name')}) AS named, own <> '' AND ({_ON.format('own')} OR EXISTS (SELECT 1 FROM {_NAMES} WHERE c.today = coalesce((SELECT d.today FROM {_NAMES.replace('c(name', 'd(name')} WHERE d.name = own), own) AND {_ON.format('c.name')})) AS within FROM p) "
+    f"SELECT search_id, count(*) AS listings, count(*) FILTER (WHERE within) AS in_city, count(*) FILTER (WHERE within OR (NOT regexp_matches(raw, '{M.REMOTE}') AND NOT named)) AS near FROM m GROUP BY search_id"
+)
+def listings_near(spark, sf_dir):
+    """(search_id, listings, in_city, near): listings in the city searched, and those at no other city and not remote."""
+    j = table(spark, sf_dir, "job_listings", "listing_id", "search_id", "location").filter("location is not null").distinct()
+    s = table(spark, sf_dir, "searches", "search_id", "location").filter("location is not null").select("search_id", F.substring_index("location", ",", 1).alias("place"))
+    at, place = F.col("location"), F.col("place")
+    return j.join(s, "search_id").groupBy("search_id").agg(F.count("*").alias("listings"), F.count_if(M.in_city(at, place)).alias("in_city"), F.count_if(M.near(at, place)).alias("near"))
+
+
+@query(
+    f"WITH r AS (SELECT DISTINCT result_id, search_id, pos, title, link FROM organic_results WHERE link IS NOT NULL), h AS (SELECT r.*, {_NAME.format(_FOLD.format('s.q'))} AS q, {_FOLD.format('r.title')} AS folded, string_split(regexp_replace(regexp_extract(lower(link), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '.') AS l FROM r JOIN searches s USING (search_id)), "
+    f"d AS (SELECT *, {_REGISTRABLE} AS domain FROM h), k AS (SELECT *, replace(split_part(domain, '.', 1), '-', '') AS label, replace(q, ' ', '') AS whole, string_split(q, ' ') AS t FROM d WHERE q <> ''), "
+    "f AS (SELECT *, CASE WHEN label = whole THEN 0 WHEN len(t) > 1 AND len(label) >= 4 AND list_contains(list_transform(generate_series(1, greatest(len(t) - 1, 1)), lambda n: array_to_string(t[1:n], '')), label) AND contains(' ' || folded || ' ', ' ' || q || ' ') THEN 1 END AS rank FROM k) "
+    "SELECT search_id, domain FROM (SELECT search_id, domain, row_number() OVER (PARTITION BY search_id ORDER BY rank, pos, result_id) AS rn FROM f WHERE rank IS NOT NULL) WHERE rn = 1"
+)
+def official_domains(spark, sf_dir):
+    """(search_id, domain): the domain that a search's results show as the organisation's own."""
+    r = table(spark, sf_dir, "organic_results", "result_id", "search_id", "pos", "title", "link").filter("link is not null").distinct()
+    s = table(spark, sf_dir, "searches", "search_id", "q").filter("q is not null")
+    # a search has as many results as fit a page
+    pages = r.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("pos", "result_id", "link", "title"))).alias("results"))
+    return pages.join(s, "search_id").select("search_id", M.official_domain(F.col("results"), F.col("q")).alias("domain")).filter("domain is not null")
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT result_id, search_id, link, string_split(regexp_replace(regexp_extract(lower(link), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '.') AS l FROM organic_results), "
+    rf"d AS (SELECT *, {_REGISTRABLE} AS domain FROM r) SELECT search_id, count(*) AS results, count(*) FILTER (WHERE NOT coalesce(domain IN ({_list([*D.PEOPLE, *D.VIDEO])}) OR regexp_matches(link, '(?i)^https?://(?:[a-z0-9-]+\.)*linkedin\.com/(?:in|pub)/'), false)) AS kept FROM d GROUP BY search_id"
+)
+def results_kept(spark, sf_dir):
+    """(search_id, results, kept): results that are no page about a person and no video."""
+    r = table(spark, sf_dir, "organic_results", "result_id", "search_id", "link").distinct()
+    own = F.size(scrub.kept_results(F.array(F.struct("link")))) == 1
+    return r.groupBy("search_id").agg(F.count("*").alias("results"), F.count_if(own).alias("kept"))
+
+
+@query(
+    rf"SELECT doc_id, CASE WHEN length(text) > 200 THEN '[' || length(text) || ' characters]' ELSE regexp_replace(regexp_replace({_MASKED.format('text')}, '{T.LONG_HEX}', '', 'g'), '(api_key=)[^&\s""''<>]+', '', 'g') END AS shown FROM documents".replace('""', '"')
+)
+def redacted_log(spark, sf_dir):
+    """(doc_id, shown): texts as a log may hold them."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.redacted(F.col("text")).alias("shown"))
+
+
+@query("SELECT provider, cache, count(*) AS searches, CAST(sum(CASE WHEN cache = 'hit' THEN 0 ELSE 1 END) AS BIGINT) AS spent FROM searches GROUP BY provider, cache")
+def search_costs(spark, sf_dir):
+    """(provider, cache, searches, spent): what searches cost by who answered."""
+    s = table(spark, sf_dir, "searches", "provider", "cache")
+    return s.groupBy("provider", "cache").agg(F.count("*").alias("searches"), F.sum(R.spent(F.col("cache"))).alias("spent"))
+
+
+@query("SELECT engine, q, count(*) FILTER (WHERE cache = 'hit') AS in_one, count(*) FILTER (WHERE coalesce(cache, '') <> 'hit') AS in_two FROM searches GROUP BY engine, q HAVING in_one <> in_two")
+def trace_difference(spark, sf_dir):
+    """(engine, q, in_one, in_two): searches that the cache answered against those it did not, where the traces differ."""
+    s = table(spark, sf_dir, "searches", "engine", "q", "cache")
+    hit = F.coalesce(F.col("cache") == "hit", F.lit(False))
+    return lookups.difference(s.filter(hit).select("engine", "q"), s.filter(~hit).select("engine", "q"))
+
+
+@query(f"SELECT DISTINCT role, array_to_string({_TOK.format('role')}, ' ') AS folded FROM offers WHERE role IS NOT NULL")
+def role_tokens(spark, sf_dir):
+    """(role, folded): roles as they are compared."""
+    return table(spark, sf_dir, "offers", "role").filter("role is not null").distinct().select("role", T.folded(F.col("role")).alias("folded"))
+
+
+@query()
+def listing_pays(spark, sf_dir):
+    """(listing_id, source, phrase, monthly): the first source of a listing's pay and its middle in rupees per month."""
+    import pandas as pd
+
+    from evidencia.operators.money import listing_pay
+    from evidencia.runtime import spread
+
+    def run(frames):
+        for f in frames:
+            rows = [(k, listing_pay(d and d["salary"], e, t)) for k, d, e, t in zip(f["listing_id"], f["detected_extensions"], f["extensions"], f["description"])]
+            yield pd.DataFrame([(k, *x) for k, x in rows if x], columns=["listing_id", "source", "phrase", "monthly"])
+
+    j = table(spark, sf_dir, "job_listings", "listing_id", "detected_extensions", "extensions", "description")
+    return spread(j).mapInPandas(run, "listing_id bigint, source string, phrase string, monthly bigint").distinct()

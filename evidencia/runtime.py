@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` if the cluster names one.
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where it is unset (tests, a laptop) a temporary folder of this machine is used.
+    Only a session on this machine alone (tests, a laptop) may leave it unset: then it is a temporary folder here.  On a
+    cluster that would be a folder which other machines do not see, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.environ.get("EVIDENCIA_SHARED_DIR")
     if not own:
         own = tempfile.mkdtemp(prefix="evidencia-")
@@ -34,11 +37,14 @@ def stored(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     The lineage ends there: what follows re-reads files that outlive any executor, and a plan that uses the
-    result twice computes it once.
+    result twice computes it once.  The files are deleted when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/evidencia-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/evidencia-{uuid.uuid4().hex}"
     (df.select(*columns) if columns else df).write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 
 def slots(spark: SparkSession) -> int:

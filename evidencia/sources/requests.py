@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidencia.functions.text import search_name
 from evidencia.operators.lookups import latest
+from evidencia.operators.scrub import scrub_column
 
 # fixed values: the fields a response keeps, by engine; a parameter that is no part of a query; locale
 PLACE = "struct<title:string,place_id:string,type:string,address:string,rating:double,reviews:bigint>"
@@ -17,19 +19,38 @@ RESPONSES = {
     "google_maps_reviews": "reviews array<struct<snippet:string,rating:double,iso_date:string,link:string>>",
     "google_news": "news_results array<struct<title:string,link:string,source:struct<name:string>,date:string>>",
 }
-NO_PART = ("no_cache", "api_key")
+NO_PART = ("no_cache",)
 LOCALE = {"hl": "en", "gl": "in"}
-ERRORS = {401: "bad_key", 429: "rate_limited", 400: "bad_request"}
+ERRORS = {401: "key_rejected", 429: "rate_limit", 400: "bad_query"}
+# fixed values: kinds of failure that are no status, counters of an account
+FAILURES = "key_missing timeout connection request_failed bad_response no_fixture not_recorded".split()
+ACCOUNT = "plan_searches_left bigint, searches_per_month bigint, this_month_usage bigint, this_hour_searches bigint, account_rate_limit_per_hour bigint"
 
 
-def error_kind(status: Column) -> Column:
-    """The kind of a failed search by its status, as a column: a failure is a value, never an exception in a task."""
-    out = F.when(status.isNull(), "not_recorded")
+def error_kind(status: Column, failure: Column | None = None) -> Column:
+    """The kind of a failed search, as a column: a failure is a value, never an exception in a task.
+
+    ``failure`` names what failed before there was a status, one of FAILURES; anything else there is `request_failed`.
+    Without it a null status is a search that was not recorded.
+    """
+    out = F.when(status.isNull() & F.lit(failure is None), "not_recorded")
+    if failure is not None:
+        out = F.when(failure.isin(FAILURES), failure).when(failure.isNotNull() | status.isNull(), "request_failed")
     for code, kind in ERRORS.items():
         out = out.when(status == code, kind)
     return out.when(status >= 400, "http_error")
 
 
+def account(text: Column) -> Column:
+    """The five counters of an account's answer; whatever else it says stays behind."""
+    return F.from_json(text, ACCOUNT)
+
+
+def spent(cache: Column) -> Column:
+    """What a search costs the case's budget: nothing if the local cache answered, else one, replayed ones included."""
+    return F.when(cache == "hit", 0).otherwise(1)
+
+
 def request(engine: str, q: Column, **more: Column) -> Column:
     """A request map; null parameters are left out by the key, the locale is India's."""
     pairs = {"engine": F.lit(engine), "q": q} | {k: F.lit(v) for k, v in LOCALE.items()} | more
@@ -60,8 +81,26 @@ def place_search(company: Column, city: Column) -> Column:
     return request("google_maps", F.concat_ws(" ", search_name(company), city), z=F.lit("12"))
 
 
+def reviews_search(place_id: Column, term: Column) -> Column:
+    """Reviews of one place that have a term."""
+    return F.map_filter(request("google_maps_reviews", F.lit(None).cast("string"), place_id=place_id, query=term), lambda k, v: ~k.isin("q", "gl"))
+
+
+def news_search(company: Column, words: Column | None = None) -> Column:
+    """News that name the company in quotes beside words of warning, wherever they appeared."""
+    return request("google_news", F.concat(F.lit('"'), search_name(company), F.lit('" '), F.lit("(fraud OR fake OR scam)") if words is None else words))
+
+
 def params_key(params: Column) -> Column:
-    """One text for all maps that ask the same: names sorted, white space single, nulls and `no_cache` left out."""
+    """One text for all maps that ask the same: names sorted, white space single, nulls and `no_cache` left out.
+
+    A key of the service has no place in what is asked: a map that has one is an error, so that it is never written down.
+    """
+    refused = F.raise_error(F.lit("a request must not hold api_key")).cast("string")
+    return F.when(F.map_contains_key(params, "api_key"), refused).otherwise(_canonical(params))
+
+
+def _canonical(params: Column) -> Column:
     kept = F.map_filter(params, lambda k, v: v.isNotNull() & ~k.isin(*NO_PART))
     clean = F.transform_values(kept, lambda k, v: F.trim(F.regexp_replace(v, r"\s+", " ")))
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(clean))))
@@ -90,9 +129,51 @@ def typed(df: DataFrame, engine: str, response: str = "response") -> DataFrame:
     return df.withColumn(response, F.from_json(response, RESPONSES[engine]))
 
 
+def recording_name(engine: Column, params: Column) -> Column:
+    """`engine-` and twelve hexadecimal digits of the request's key."""
+    return F.concat(engine, F.lit("-"), F.left(cache_key(params), F.lit(12)))
+
+
+def scrubbed(df: DataFrame, response: str = "response") -> DataFrame:
+    """Recordings with only what readers ask for, masked, by engine; those of other engines and broken ones become null."""
+    out = F.lit(None).cast("string")
+    for engine, ddl in RESPONSES.items():
+        out = F.when(F.col("engine") == engine, scrub_column(StructType.fromDDL(ddl))(response)).otherwise(out)
+    return df.withColumn(response, out)
+
+
 def record(df: DataFrame, path: str) -> None:
-    """Writes recordings by sample; the committer makes each file whole or absent."""
-    df.write.mode("append").partitionBy("sample").json(path)
+    """Writes recordings (sample, recorded_at, engine, params, response) scrubbed, one folder a sample and request.
+
+    A recording under the same name in one run is the later one; the committer makes each file whole or absent.
+    """
+    named = scrubbed(df).withColumn("name", recording_name(F.col("engine"), F.col("params")))
+    once = latest(named, ["sample", "name"], ["recorded_at"], ["recorded_at", "engine", "params", "response"])
+    once.withColumnRenamed("recorded_at", "recordedAt").write.mode("append").partitionBy("sample", "name").json(path)
+
+
+def recorded_and_passed_on(df: DataFrame, path: str) -> DataFrame:
+    """Served searches written as recordings and handed on, each at the cost of one search even where a cache answered."""
+    record(df, path)
+    return df.withColumn("searches_spent", F.lit(1))
+
+
+def routed(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """Requests answered from a table of routes (params, response): a test's source; without a route the error is `no_fixture`."""
+    known = routes.select(params_key(F.col("params")).alias("key"), F.col("response"))
+    met = requests.withColumn("key", params_key(F.col("params"))).join(known, "key", "left")
+    return met.withColumn("error", F.when(F.col("response").isNull(), "no_fixture"))
+
+
+def settings(environment: dict[str, str], lines: str = "") -> dict[str, str]:
+    """Settings of the `NAME=value` lines of a file, over which the environment goes; comments and quotes aside."""
+    pairs = (x.strip().removeprefix("export ").partition("=") for x in lines.splitlines() if "=" in x and not x.strip().startswith("#"))
+    return {k.strip(): v.strip().strip("'\"") for k, _, v in pairs} | environment
+
+
+def source_of(own: dict[str, str]) -> str:
+    """Which source answers: the one that is named, else live if there is a key, else replay."""
+    return own.get("PROVIDER") or ("live" if own.get("API_KEY") else "replay")
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:

@@ -49,12 +49,32 @@ def one(spark, value, f):
         (lambda c: M.role_matches(F.lit("Sales Executive"), c), "Data Entry Executive", False),
         (lambda c: M.in_place(c, F.lit("Navi Mumba")), "near Navi Mumba, X", True),
         (lambda c: M.carries_phone(c, F.lit("+91 98765 43210")), "call 98765-43210 now", True),
+        (lambda c: M.carries_contact(c, F.lit("hr@x.example")), "write to HR@x.example.", True),
+        (lambda c: M.carries_contact(c, F.lit("hr@x.example")), "write to hr@x.example.org", False),
+        (T.tokens, "Ａcmé & Cø. 12", ["acme", "and", "c", "12"]),
+        (T.normalised, "Straße ÉCOLE", "strasse école"),
+        (T.redacted, "mail a.b@c.example", "mail ***@c.example"),
+        (lambda c: D.official_class(D.host_of(c), F.lit("zorvan.com")), "hr@zorvam.com", "lookalike"),
+        (lambda c: D.official_class(D.host_of(c), F.lit("zorvan.com")), "hr@other.com", "unrelated"),
+        (D.is_profile, "https://m.facebook.com/someone", True),
+        (D.is_profile, "https://in.linkedin.com/company/x", False),
+        (lambda c: M.in_city(c, F.lit("Bengaluru")), "Whitefield, Bangalore", True),
+        (lambda c: M.in_city(c, F.lit("bombay")), "Andheri, Mumbai", True),
+        (lambda c: M.near(c, F.lit("Pune")), "Chakan, Maharashtra", True),
+        (lambda c: M.near(c, F.lit("Pune")), "Nagpur", False),
+        (lambda c: M.near(c, F.lit("Pune")), "Anywhere", False),
     ],
 )
 def test_scalars(spark, f, value, want):
     assert one(spark, value, f) == want
 
 
+def test_official_domain(spark):
+    rows = [([("https://zorvan.example/", "Zorvan Support jobs"), ("https://www.zorvan-support.example/x", "Home")],), ([("https://zorvan.example/", "Zorvan Support Ltd jobs"), ("https://other.example", "x")],), ([("https://zorvan.example/", "Zorvan Hospitals")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "r array<struct<link:string,title:string>>")
+    assert [r[0] for r in df.select(M.official_domain(F.col("r"), F.lit("Zorvan Support Pvt Ltd"))).collect()] == ["zorvan-support.example", "zorvan.example", None, None, None]
+
+
 def test_distance():
     assert [distance(*p) for p in [("ca", "abc"), ("", "ab"), ("abcd", "acbd"), ("brand", "brand"), ("kitten", "sitting")]] == [2, 2, 1, 0, 3]
 
