@@ -312,3 +312,26 @@ def p6_groups(spark, sf_dir: str) -> DataFrame:
 def p6_documents(spark, sf_dir: str) -> DataFrame:
     """(doc_id, group, links): documents alike in five-word runs to 0.8 or more."""
     return groups(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _sql(name: str, key: str, text: str, width: int, threshold: float) -> str:
+    """The same without MinHash: all pairs of classes that share a run of words, their components, by a recursive query."""
+    run = " || ' ' || ".join(f"t[i + {k}]" for k in range(width))
+    blank = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return (
+        f"WITH RECURSIVE t AS (SELECT DISTINCT {key} AS id, string_split(trim(regexp_replace(lower({text}), '{blank}', ' ', 'g')), ' ') AS t FROM {name} WHERE {text} IS NOT NULL), "
+        f"g AS (SELECT DISTINCT id, hash({run}) AS g FROM (SELECT id, t, unnest(generate_series(1, len(t) - {width - 1})) AS i FROM t WHERE len(t) >= {width})), "
+        "n AS (SELECT id, count(*) AS n, sum(g) AS s1, bit_xor(g) AS s2 FROM g GROUP BY id), k AS (SELECT id, n, min(id) OVER (PARTITION BY n, s1, s2) AS cls FROM n), "
+        "c AS (SELECT id, n FROM k WHERE id = cls), e AS (SELECT g.id, g.g FROM g JOIN c USING (id)), p AS (SELECT a.id AS a, b.id AS b, count(*) AS x FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id), "
+        f"l AS (SELECT a, b FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE x >= {threshold} * (ca.n + cb.n - x)), "
+        "y AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id AS u, id AS top FROM c UNION SELECT y.v, r.top FROM r JOIN y ON y.u = r.u WHERE r.top < y.v), "
+        "f AS (SELECT u, min(top) AS top FROM r GROUP BY u)"
+    )
+
+
+_MEMBERS = ' SELECT k.id AS {0}, f.top AS "group", CAST((SELECT count(*) FROM y WHERE y.u = k.cls) AS BIGINT) AS links FROM k JOIN f ON f.u = k.cls'
+SQL = {
+    "p6_found": _sql("offers", "offer_id", "source_text", 2, 0.75) + ", q AS (SELECT k.id, f.top FROM k JOIN f ON f.u = k.cls) SELECT a.id AS offer_a, b.id AS offer_b FROM q a JOIN q b ON a.top = b.top AND a.id < b.id",
+    "p6_groups": _sql("offers", "offer_id", "source_text", 2, 0.75) + _MEMBERS.format("offer_id"),
+    "p6_documents": _sql("documents", "doc_id", "text", 5, 0.8) + _MEMBERS.format("doc_id"),
+}

@@ -20,4 +20,4 @@ QUERIES: dict = {
     "p10_found": spans.p10_found,
     "p10_shared": spans.p10_shared,
 }
-SQL: dict = {}
+SQL: dict = neardup.SQL | spans.SQL

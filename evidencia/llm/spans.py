@@ -252,3 +252,17 @@ def p10_shared(spark, sf_dir: str) -> DataFrame:
     n = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
     sized = docs.select("doc_id", F.length("text").alias("n_chars"))
     return sized.join(ordered.select("doc_id", fold["n"].alias("n")), "doc_id", "left").select("doc_id", n.alias("n_shared"), F.when(F.col("n_chars") > 0, n / F.col("n_chars")).alias("share"))
+
+
+# every window of 300 characters of every text, met by its hash
+_WINDOWS = (
+    "WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300), "
+    "w AS (SELECT doc_id, pos, hash(substring(text, pos, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS pos FROM d)), "
+    "m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, pos, h FROM w JOIN m USING (h))"
+)
+SQL = {
+    "p10_found": _WINDOWS + " SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shared": _WINDOWS
+    + ", c AS (SELECT doc_id, sum(least(300, pos - coalesce(before, pos - 300))) AS n FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT DISTINCT doc_id, pos FROM s)) GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(coalesce(n, 0) AS BIGINT) END AS n_shared, CASE WHEN length(text) > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / length(text) END AS share FROM documents LEFT JOIN c USING (doc_id)",
+}

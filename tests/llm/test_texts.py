@@ -167,3 +167,20 @@ def test_label_shapes():
 def test_queries_run(spark, small, name):
     df = Q.QUERIES[name](spark, small)
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_same_as_sql(spark, small, name):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(small).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    cur = con.execute(Q.SQL[name])
+    columns = [c[0] for c in cur.description]
+    shown = lambda v: "" if v is None else f"{v:.9f}" if isinstance(v, float) else str(v)
+    df = Q.QUERIES[name](spark, small)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(tuple(map(shown, r)) for r in df.select(columns).collect()) == sorted(tuple(map(shown, r)) for r in cur.fetchall())
