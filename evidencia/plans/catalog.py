@@ -14,4 +14,4 @@ QUERIES: dict = core_queries.QUERIES | {
     "p7_extensions": problems.p7_extensions,
     "p7_places": problems.p7_places,
 }
-SQL: dict = core_queries.SQL
+SQL: dict = core_queries.SQL | problems.SQL

@@ -81,6 +81,36 @@ def p2_not_unique(spark, sf_dir: str) -> DataFrame:
     return _pays(spark, sf_dir).filter(~F.col("is_unique")).select("src", "rec_id", "low_inr", "high_inr")
 
 
+def _open(x: str) -> str:
+    """A member, or what it holds if it is a string with an object or a list in it."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') AND json_type(CAST({x} ->> '$' AS JSON)) IN ('OBJECT', 'ARRAY') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END"
+
+
+def _entries(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN CAST({x} AS JSON[]) WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN CAST([] AS JSON[]) ELSE [{x}] END"
+
+
+def _value(x: str) -> str:
+    return f"CASE WHEN json_type({x}) <> 'NULL' THEN {x} ->> '$' END"
+
+
+_RECORDS = (
+    f"WITH b AS (SELECT DISTINCT rec_id, {_open('CAST(body AS JSON)')} AS b FROM recordings WHERE json_valid(body)), "
+    f"r AS (SELECT rec_id, b, {_open('(b -> $$params$$)')} AS p, {_open('(b -> $$response$$)')} AS r FROM b WHERE json_type(b) = 'OBJECT'), "
+    f"j AS (SELECT rec_id, {_open('(r -> $$jobs_results$$)')} AS j, {_open('(r -> $$local_results$$)')} AS l FROM r), "
+    f"jr AS (SELECT rec_id, unnest({_entries('j')}) AS e, unnest(generate_series(0, len({_entries('j')}) - 1)) AS pos FROM j), "
+    f"lr AS (SELECT rec_id, unnest({_entries('l')}) AS e, unnest(generate_series(0, len({_entries('l')}) - 1)) AS pos FROM j), "
+    f"jo AS (SELECT rec_id, pos, {_open('e')} AS e FROM jr), lo AS (SELECT rec_id, pos, {_open('e')} AS e FROM lr), "
+    f"x AS (SELECT rec_id, pos AS parent_pos, {_open('(e -> $$extensions$$)')} AS x FROM jo), "
+    f"xr AS (SELECT rec_id, parent_pos, unnest({_entries('x')}) AS e, unnest(generate_series(0, len({_entries('x')}) - 1)) AS pos FROM x)"
+)
+SQL = {
+    "p7_found": _RECORDS + f" SELECT rec_id, 'q' AS child, -1 AS parent_pos, 0 AS pos, {_value('(p -> $$q$$)')} AS value FROM r WHERE {_value('(p -> $$q$$)')} IS NOT NULL "
+    f"UNION ALL SELECT rec_id, 'place', -1, pos, {_value('(e -> $$title$$)')} FROM lo WHERE {_value('(e -> $$title$$)')} IS NOT NULL "
+    f"UNION ALL SELECT rec_id, 'extension', parent_pos, pos, {_value('e')} FROM xr WHERE {_value('e')} IS NOT NULL",
+}
+
+
 def p2_benchmark(spark, sf_dir: str) -> DataFrame:
     """(title, listings, found, median_pay): exact median of the middle of each listing's pay, by title."""
     from evidencia.functions.benchmark import benchmark
