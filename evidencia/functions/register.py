@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
@@ -67,3 +68,24 @@ def refusal(value, schema: dict, name: str = "arguments") -> str | None:
     if strange:
         return f"{name} has no member {strange[0]}"
     return next(filter(None, (refusal(v, known[k], k) for k, v in members.items() if k in known)), None)
+
+
+def checked(calls: DataFrame, schemas: dict[str, dict], tool: str = "tool", arguments: str = "arguments") -> DataFrame:
+    """Calls with why each is refused, null for those that may run: an unknown tool, arguments that are no JSON object, or
+    that do not fit the tool's schema.  A refusal is a value, so that one bad call stops no other."""
+
+    @F.pandas_udf(StringType())
+    def why(tools: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([_refused(t, g, schemas) for t, g in zip(tools, given)], dtype=object)
+
+    return calls.withColumn("refusal", why(tool, arguments))
+
+
+def _refused(tool, given, schemas: dict[str, dict]) -> str | None:
+    if tool not in schemas:
+        return f"there is no tool {tool}"
+    try:
+        value = json.loads(given) if given is not None else {}
+    except (ValueError, RecursionError):
+        return "arguments are no JSON"
+    return refusal(value, {"type": "object"} | schemas[tool])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evidencia.functions.domains import host_of, registrable_domain
 from evidencia.functions.text import search_name
 from evidencia.operators.lookups import latest
 from evidencia.operators.scrub import scrub_column
@@ -20,7 +21,17 @@ RESPONSES = {
     "google_news": "news_results array<struct<title:string,link:string,source:struct<name:string>,date:string>>",
 }
 NO_PART = ("no_cache",)
-LOCALE = {"hl": "en", "gl": "in"}
+RESTRICTORS = {
+    "google": "knowledge_graph.{title,website},organic_results[].{title,link,snippet}",
+    "google_jobs": "jobs_results[].{title,company_name,location,detected_extensions.salary,extensions,description,apply_options[].link}",
+    "google_maps": "local_results[].{title,place_id,type,address,rating,reviews},place_results.{title,place_id,type,address,rating,reviews}",
+    "google_maps_reviews": "reviews[].{snippet,rating,iso_date,link}",
+    "google_news": "news_results[].{title,link,source.name,date}",
+}
+# fixed values: wordings that find notices and reports
+NOTICE = {"specific": "(recruitment OR hiring) (fraud OR scam OR fake) never (fee OR money OR payment)", "broad": '("recruitment fraud" OR "fake job offers" OR "recruitment scams" OR "fraudulent")'}
+SCAM_NEWS, REPORTED = "job offer (fake OR scam OR fraud)", "(scam OR fraud OR fake)"
+LOCALE = {"hl": "en", "gl": "in", "google_domain": "google.co.in"}
 ERRORS = {401: "key_rejected", 429: "rate_limit", 400: "bad_query"}
 # fixed values: kinds of failure that are no status, counters of an account
 FAILURES = "key_missing timeout connection request_failed bad_response no_fixture not_recorded".split()
@@ -51,44 +62,64 @@ def spent(cache: Column) -> Column:
     return F.when(cache == "hit", 0).otherwise(1)
 
 
-def request(engine: str, q: Column, **more: Column) -> Column:
-    """A request map; null parameters are left out by the key, the locale is India's."""
-    pairs = {"engine": F.lit(engine), "q": q} | {k: F.lit(v) for k, v in LOCALE.items()} | more
+def request(engine: str, q: Column | None, **more: Column) -> Column:
+    """A request map; null parameters are left out by the key, the locale is India's.
+
+    ``json_restrictor`` is the projection, pushed to the source: only the members that a reader asks for come back.
+    """
+    pairs = ({"engine": F.lit(engine)} | ({"q": q} if q is not None else {}) | {k: F.lit(v) for k, v in LOCALE.items()} | more) | {"json_restrictor": F.lit(RESTRICTORS[engine])}
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
 
 
-def site_lookup(company: Column, city: Column) -> Column:
+def _at(city: Column | None) -> Column:
+    return F.lit("India") if city is None else F.coalesce(F.concat(city, F.lit(", India")), F.lit("India"))
+
+
+def site_lookup(company: Column, city: Column | None = None) -> Column:
     """The organisation's own site: its name without legal words, near its city."""
-    return request("google", search_name(company), location=F.when(city.isNotNull(), F.concat(city, F.lit(", India"))))
+    return request("google", search_name(company), location=_at(city))
 
 
-def on_site(domain: Column, words: Column) -> Column:
+def on_site(domain: Column, words: Column, city: Column | None = None) -> Column:
     """Pages of one site only, the predicate pushed to the source."""
-    return request("google", F.concat(F.lit("site:"), domain, F.lit(" "), words))
+    return request("google", F.concat(F.lit("site:"), domain, F.lit(" "), words), location=_at(city))
+
+
+def notice_lookup(domain: Column, wording: str = "specific", city: Column | None = None) -> Column:
+    """The notice about fraud on an employer's site, in one of two wordings."""
+    return on_site(domain, F.lit(NOTICE[wording]), city)
+
+
+def sender_lookup(domain: Column, candidate: Column, city: Column | None = None) -> Column:
+    """Pages of an employer's site that name a sender's registrable domain."""
+    return on_site(domain, F.concat(F.lit('"'), registrable_domain(host_of(candidate)), F.lit('"')), city)
 
 
-def contact_lookup(contact: Column) -> Column:
+def contact_lookup(contact: Column, city: Column | None = None) -> Column:
     """Pages with a quoted contact: the last ten digits of a number, a whole address."""
     short = F.when(contact.contains("@"), contact).otherwise(F.right(F.regexp_replace(contact, r"\D", ""), F.lit(10)))
-    return request("google", F.concat(F.lit('"'), short, F.lit('" (fraud OR fake OR scam)')))
+    return request("google", F.concat(F.lit('"'), short, F.lit('" '), F.lit(REPORTED)), location=_at(city))
 
 
-def job_search(role: Column, city: Column) -> Column:
-    return request("google_jobs", F.trim(F.regexp_replace(F.regexp_replace(role, r"\([^)]*\)", " "), r"\s+", " ")), location=F.when(city.isNotNull(), F.concat(city, F.lit(", India"))))
+def job_search(role: Column, city: Column | None = None, company: Column | None = None) -> Column:
+    """Listings of a role, brackets aside; with the employer's name only where its own listings are wanted, that is where
+    its domain is known.  A null company is left out."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(role, r"\([^)]*\)", " "), r"\s+", " "))
+    return request("google_jobs", plain if company is None else F.concat_ws(" ", plain, search_name(company)), location=_at(city))
 
 
-def place_search(company: Column, city: Column) -> Column:
-    return request("google_maps", F.concat_ws(" ", search_name(company), city), z=F.lit("12"))
+def place_search(company: Column, city: Column | None = None) -> Column:
+    return request("google_maps", search_name(company), type=F.lit("search"), location=_at(city), z=F.lit("12"))
 
 
 def reviews_search(place_id: Column, term: Column) -> Column:
     """Reviews of one place that have a term."""
-    return F.map_filter(request("google_maps_reviews", F.lit(None).cast("string"), place_id=place_id, query=term), lambda k, v: ~k.isin("q", "gl"))
+    return F.map_filter(request("google_maps_reviews", None, place_id=place_id, query=term), lambda k, v: ~k.isin("gl", "google_domain"))
 
 
-def news_search(company: Column, words: Column | None = None) -> Column:
+def news_search(company: Column) -> Column:
     """News that name the company in quotes beside words of warning, wherever they appeared."""
-    return request("google_news", F.concat(F.lit('"'), search_name(company), F.lit('" '), F.lit("(fraud OR fake OR scam)") if words is None else words))
+    return F.map_filter(request("google_news", F.concat(F.lit('"'), search_name(company), F.lit('" '), F.lit(SCAM_NEWS))), lambda k, v: k != "google_domain")
 
 
 def params_key(params: Column) -> Column:

@@ -22,3 +22,9 @@ def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour"
 def without_copies(rows: DataFrame, at: str, print_: str, within: str = "1 day") -> DataFrame:
     """A stream without rows whose fingerprint was seen ``within`` that time; the state is dropped behind the watermark."""
     return _timed(rows, at).withWatermark(at, within).dropDuplicatesWithinWatermark([print_])
+
+
+def settled(calls: DataFrame, results: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """Calls of an append-only log with the last result that came for each; null columns while none has."""
+    last = results.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(at)).alias("_r"))
+    return calls.join(last, key, "left").select(calls["*"], *[F.col("_r")[c].alias(c) for c in columns])

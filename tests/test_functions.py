@@ -133,3 +133,20 @@ def test_refusals(value, want):
 
     schema = {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 20}, "n": {"type": "integer", "minimum": 1}, "mode": {"enum": ["a", "b"]}}}
     assert refusal(value, schema) == want
+
+
+def test_calls_are_checked(spark):
+    from evidencia.functions.register import checked
+
+    schemas = {"open": {"required": ["text"], "properties": {"text": {"type": "string"}}}}
+    rows = [("open", '{"text": "x"}'), ("open", "{}"), ("open", "["), ("open", "[]"), ("shut", "{}"), (None, None)]
+    got = [r.refusal for r in checked(spark.createDataFrame(rows, "tool string, arguments string"), schemas).collect()]
+    assert got == [None, "arguments lacks text", "arguments are no JSON", "arguments must be of type object", "there is no tool shut", "there is no tool None"]
+
+
+def test_settled_log(spark):
+    from evidencia.streaming.logs import settled
+
+    calls = spark.createDataFrame([(1, "a"), (2, "b")], "id int, tool string")
+    results = spark.createDataFrame([(1, 1, "first"), (1, 2, "last"), (9, 1, "none")], "id int, at int, result string")
+    assert sorted((r.id, r.tool, r.result) for r in settled(calls, results, "id", "at", ["result"]).collect()) == [(1, "a", "last"), (2, "b", None)]

@@ -323,8 +323,25 @@ def test_components(spark):
 
 
 def test_request_keys(spark):
-    df = spark.range(1).select(R.params_key(R.request("google", F.lit(" a  b "), location=F.lit(None).cast("string"), no_cache=F.lit("true"))).alias("k"), R.params_key(R.job_search(F.lit("Clerk (WFH)"), F.lit("Pune"))).alias("j"))
-    assert tuple(df.first()) == ('{"engine":"google","gl":"in","hl":"en","q":"a b"}', '{"engine":"google_jobs","gl":"in","hl":"en","location":"Pune, India","q":"Clerk"}')
+    asked = {
+        "k": R.request("google", F.lit(" a  b "), location=F.lit(None).cast("string"), no_cache=F.lit("true")),
+        "j": R.job_search(F.lit("Clerk (WFH)"), F.lit("Pune")),
+        "own": R.job_search(F.lit("Clerk"), None, F.lit("Zorvan Pvt Ltd")),
+        "n": R.notice_lookup(F.lit("zorvan.example"), "broad"),
+        "s": R.sender_lookup(F.lit("zorvan.example"), F.lit("hr@mail.brand.co.in"), F.lit("Pune")),
+        "c": R.contact_lookup(F.lit("+91 98765 43210")),
+        "p": R.place_search(F.lit("Zorvan Ltd"), F.lit(None).cast("string")),
+        "r": R.reviews_search(F.lit("p1"), F.lit("fee")),
+        "w": R.news_search(F.lit("Zorvan Pvt Ltd")),
+    }
+    got = {k: json.loads(v) for k, v in spark.range(1).select(*[R.params_key(m).alias(k) for k, m in asked.items()]).first().asDict().items()}
+    assert all(x.pop("json_restrictor") == R.RESTRICTORS[x["engine"]] for x in got.values()) and all(x.pop("hl") == "en" for x in got.values())
+    assert [k for k, x in got.items() if x.pop("google_domain", None) is None] == ["r", "w"]
+    assert got["k"] == {"engine": "google", "gl": "in", "q": "a b"} and got["j"] == {"engine": "google_jobs", "gl": "in", "location": "Pune, India", "q": "Clerk"}
+    assert got["own"]["q"] == "Clerk Zorvan" and got["n"]["q"].startswith('site:zorvan.example ("recruitment fraud"') and got["n"]["location"] == "India"
+    assert got["s"]["q"] == 'site:zorvan.example "brand.co.in"' and got["c"]["q"] == '"9876543210" (scam OR fraud OR fake)'
+    assert got["p"] == {"engine": "google_maps", "gl": "in", "location": "India", "q": "Zorvan", "type": "search", "z": "12"}
+    assert got["r"] == {"engine": "google_maps_reviews", "place_id": "p1", "query": "fee"} and got["w"]["q"] == '"Zorvan" job offer (fake OR scam OR fraud)'
 
 
 def test_replay_takes_the_last_recording_and_never_guesses(spark, tmp_path):
@@ -406,9 +423,8 @@ def test_sources_and_settings(spark):
     routes = spark.createDataFrame([({"q": "x"}, "{}")], "params map<string,string>, response string")
     asked = spark.createDataFrame([({"q": " x "},), ({"q": "z"},)], "params map<string,string>")
     assert [(r.response, r.error) for r in R.routed(asked, routes).orderBy("key").collect()] == [("{}", None), (None, "no_fixture")]
-    one = spark.range(1).select(R.params_key(R.reviews_search(F.lit("p1"), F.lit("fee"))).alias("r"), R.params_key(R.news_search(F.lit("Zorvan Pvt Ltd"))).alias("n"), R.account(F.lit('{"this_month_usage": 3, "secret": 1}')).alias("a"), R.spent(F.lit("hit")).alias("s"))
-    got = one.first()
-    assert got.r == '{"engine":"google_maps_reviews","hl":"en","place_id":"p1","query":"fee"}' and '\\"Zorvan\\" (fraud' in got.n and got.a.this_month_usage == 3 and got.s == 0
+    got = spark.range(1).select(R.account(F.lit('{"this_month_usage": 3, "secret": 1}')).alias("a"), R.spent(F.lit("hit")).alias("s")).first()
+    assert got.a.this_month_usage == 3 and got.s == 0
     with pytest.raises(Exception, match="api_key"):
         spark.range(1).select(R.params_key(F.create_map(F.lit("api_key"), F.lit("s")))).collect()
     df = spark.createDataFrame([(None, "timeout"), (None, "odd"), (401, None), (200, None)], "s int, f string")
