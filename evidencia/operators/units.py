@@ -173,6 +173,9 @@ def solve(stated: list[Stated], level: float = LEVEL, spread: float = SPREAD) ->
     if not stated:
         return None
     choices = [amounts(s) for s in stated]
+    if len(stated) == 1 and len(choices[0]) == 1:  # nothing is open
+        factor = SCALES[stated[0].scale] * PER_MONTH[stated[0].period]
+        return *(math.floor(v * factor + 0.5 + 1e-9) for v in (stated[0].low, stated[0].high)), True
     more = [[0.5 if s.scale is None and u[0] else 0.0 for u in own] for s, own in zip(stated, choices)]
     ranked: dict[tuple[int, ...], float] = {}
     for _, _, low, high in {u for own in choices for u in own}:

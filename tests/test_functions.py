@@ -150,3 +150,16 @@ def test_settled_log(spark):
     calls = spark.createDataFrame([(1, "a"), (2, "b")], "id int, tool string")
     results = spark.createDataFrame([(1, 1, "first"), (1, 2, "last"), (9, 1, "none")], "id int, at int, result string")
     assert sorted((r.id, r.tool, r.result) for r in settled(calls, results, "id", "at", ["result"]).collect()) == [(1, "a", "last"), (2, "b", None)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from evidencia.runtime import shared_dir
+
+    session = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://x:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert shared_dir(session("local[4]"))
+    for master in ("spark://x:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
