@@ -43,9 +43,8 @@ _MONEY = rf"{CUR}?\s*(?P<n{{0}}>{NUM})\s*(?P<s{{0}}>{SCALE})?(?:\s*/-)?\s*{CUR}?
 _RANGE = rf"(?P<c>{_BEFORE}{_MONEY.format(1)}(?:\s*(?:-|–|—|to\b|se\b|से)\s*{_MONEY.format(2)})?\s*(?P<p>{PERIOD})?\.?)"
 WHOLE = re.compile(rf"\s*{_RANGE}\s*", re.I)
 FIGURE = re.compile(_RANGE, re.I)
-#: Where a figure may begin in running text, and how far behind the word for pay.
+#: Where a figure may begin in running text.
 BEGIN = re.compile(rf"(?<![\w.,])(?:{CUR}\s*)?(?:\d|(?:{_WORD})\b)", re.I)
-REACH = 40
 LABEL = re.compile(r"(?i)\b(?:pay|salary|ctc|stipend|wages?|remuneration|compensation|package|role offers|in[- ]hand|tankhwah)\b|वेतन|पगार|சம்பளம்")
 OTHER = re.compile(r"(?i)bonus|incentive|fee\b|charge|deposit|turnover|worth|report anyone|asks? for|refund|commission|allowance|task\b|wallet|trial|mein se|में से")
 _OF = re.compile(r"(?i)\b(?:pay|salary|salaries|ctc|stipend|wages?|remuneration|figures?|amounts?)\b")
@@ -136,8 +135,8 @@ def labelled(text: str | None) -> Stated | None:
         word = LABEL.search(sentence)
         if not word:
             continue
-        to, at = word.end() + REACH, word.end()
-        while (begin := BEGIN.search(sentence, at, to + 12)) and begin.start() <= to:
+        at = word.end()
+        while begin := BEGIN.search(sentence, at):
             m = FIGURE.match(sentence, begin.start())
             if m and _MARKED.search(m["c"]) and number(m["n1"]) > 0 and not OTHER.search(sentence, 0, m.start()):
                 return _read(m)
