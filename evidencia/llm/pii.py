@@ -34,8 +34,6 @@ REMEMBER = 200_000
 END = re.compile(r"\n|\s\.\.\.(?=\s|$)|\s·\s|(?<=[a-z0-9)]{3}\.)\s+(?=\S)")
 _CODE = re.compile(r"(?<![A-Za-z0-9])([A-Z]{1,5})(?=[-/]?\d)")
 _TAIL = re.compile(r"(?<=\d)[A-Z](?![A-Za-z0-9])")
-#: What every span has: two words with capitals side by side, an at-sign in some form, or seven digits or a code of them.
-MAYBE = re.compile(r"[A-Z][\w.'’-]*[ ]+[A-Z]|@|\bat\b|[0-9०-९௦-௯](?:[ ./()-]{0,2}[0-9०-९௦-௯]){6}|[A-Z]{3,5}\d{4}")
 
 
 def folded(text: str) -> str:
@@ -257,7 +255,7 @@ class Reader:
         self.model, self.known = model, {}
 
     def read(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        cut = [[(a, s) for a, s in stretches(t) if MAYBE.search(s)] if t else [] for t in texts]
+        cut = [stretches(t) if t else [] for t in texts]
         folds = [[folded(s) for _, s in c] for c in cut]
         new = list(dict.fromkeys(s for f in folds for s in f if s not in self.known))
         if len(self.known) > REMEMBER:
