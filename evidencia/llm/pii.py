@@ -79,37 +79,43 @@ def encode(text: str) -> np.ndarray:
 class Tagger:
     """weights: for each direction a table (character x 4H) and a matrix (H x 4H); an output matrix (2H x labels) with
     offsets; transitions (labels x labels).  The gates are input, forget, output, and candidate, the first three halved
-    beforehand, since sigmoid(x) = (1 + tanh(x / 2)) / 2 makes one tanh serve all four."""
+    beforehand, since sigmoid(x) = (1 + tanh(x / 2)) / 2 makes one tanh serve all four.  Hidden states are kept twice as
+    large, which the weights behind them make up for."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items()}
         self.size = self.w["wf"].shape[0]
         half = np.ones(4 * self.size, np.float32)
         half[: 3 * self.size] = 0.5
-        self.fast = {k: self.w[k] * half for k in ("ef", "wf", "eb", "wb")}
-
-    def _direction(self, x: np.ndarray, emb: np.ndarray, rec: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """x: (T, B) numbers.  Returns hidden states (T, B, H); rows are sorted by falling length."""
-        steps, rows, n = *x.shape, self.size
-        out = np.zeros((steps, rows, n), np.float32)
-        h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
+        self.fast = {k: self.w[k] * half for k in ("ef", "eb")}
+        self.rec = np.stack([self.w["wf"] * half, self.w["wb"] * half]) * np.float32(0.5)
+        self.out = self.w["out"] * np.float32(0.5)
+
+    def _both(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """x: (2, T, B) numbers, forwards and backwards.  Returns hidden states (2, T, B, H); rows are sorted by falling length."""
+        _, steps, rows = x.shape
+        n = self.size
+        ahead, back, rec = self.fast["ef"], self.fast["eb"], self.rec
+        out = np.zeros((2, steps, rows, n), np.float32)
+        h, c = np.zeros((2, rows, n), np.float32), np.zeros((2, rows, n), np.float32)
         alive = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-        gates = np.empty((rows, 4 * n), np.float32)
+        gates = np.empty((2, rows, 4 * n), np.float32)
         for t in range(steps):
             k = alive[t]
-            g = gates[:k]
-            np.dot(h[:k], rec, out=g)
-            g += emb[x[t, :k]]
+            g = gates[:, :k]
+            np.matmul(h[:, :k], rec, out=g)
+            g[0] += ahead[x[0, t, :k]]
+            g[1] += back[x[1, t, :k]]
             np.tanh(g, out=g)
-            s = g[:, : 3 * n]
-            s *= 0.5
-            s += 0.5
-            now = c[:k]
-            now *= g[:, n : 2 * n]
-            now += g[:, :n] * g[:, 3 * n :]
-            h = out[t]
-            np.tanh(now, out=h[:k])
-            h[:k] *= g[:, 2 * n : 3 * n]
+            s = g[:, :, : 3 * n]
+            s += 1  # twice the sigmoid; what follows is halved, hidden states in the weights behind them
+            now = c[:, :k]
+            now *= g[:, :, n : 2 * n]
+            now += g[:, :, :n] * g[:, :, 3 * n :]
+            now *= 0.5
+            h = out[:, t]
+            np.tanh(now, out=h[:, :k])
+            h[:, :k] *= g[:, :, 2 * n : 3 * n]
         return out
 
     def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
@@ -119,26 +125,48 @@ class Tagger:
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
             lengths = np.array([len(windows[k]) for k in part])
-            x = np.zeros((int(lengths[0]), len(part)), np.uint8)
-            y = np.zeros_like(x)
+            x = np.zeros((2, int(lengths[0]), len(part)), np.uint8)
             for m, k in enumerate(part):
-                x[: lengths[m], m] = windows[k]
-                y[: lengths[m], m] = windows[k][::-1]
-            f = self._direction(x, self.fast["ef"], self.fast["wf"], lengths)
-            b = self._direction(y, self.fast["eb"], self.fast["wb"], lengths)
+                x[0, : lengths[m], m] = windows[k]
+                x[1, : lengths[m], m] = windows[k][::-1]
+            f, b = self._both(x, lengths)
             n = self.size
-            f, b = f @ self.w["out"][:n], b @ self.w["out"][n:]
+            f, b = f @ self.out[:n] + self.w["bias"], b @ self.out[n:]
             for m, k in enumerate(part):
-                out[k] = f[: lengths[m], m] + b[: lengths[m], m][::-1] + self.w["bias"]
+                out[k] = f[: lengths[m], m] + b[: lengths[m], m][::-1]
+        return out
+
+    def _worth(self, scores: list[np.ndarray]) -> list[int]:
+        """The stretches that may have a span.
+
+        A span adds at most what its characters do to the path without one, each with the best change of label into its
+        own, and what beginning and ending it adds (ending costs nothing at the stretch's end): where no run of
+        characters reaches 0, there is nothing to decode.
+        """
+        trans, start = self.w["trans"], self.w["start"]
+        inner = trans[1:].max(axis=0)[1:] - trans[0, 0]
+        begin = float(np.maximum(trans[0, 1:] - trans[0, 0] - inner, start[1:] - start[0] - inner).max())
+        end = float(trans[1:, 0].max() - trans[0, 0])
+        own, out = [k for k, s in enumerate(scores) if len(s)], []
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            every = np.concatenate([scores[k] for k in part])
+            sizes = np.array([len(scores[k]) for k in part])
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(every)) + np.repeat(np.arange(1, len(part) + 1), sizes)
+            steps = np.full(len(every) + len(part), -1e5)  # no run goes from one stretch to the next
+            steps[place] = (every[:, 1:] + inner).max(axis=1) - every[:, 0]
+            sums = np.cumsum(steps)
+            run = sums[place] - np.minimum.accumulate(sums)[place - 1]
+            best = np.maximum(run[first + sizes - 1], np.maximum.reduceat(run, first) + end)
+            out += [part[k] for k in np.flatnonzero(best + begin >= 0)]
         return out
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each stretch under the transitions."""
         out: list = [np.zeros(len(s), np.uint8) for s in scores]
         trans = self.w["trans"]
-        # no span pays where each label's lead over 0 is less than what two changes of label can add at most
-        gain = 2 * max(0.0, float((trans - trans[0, 0]).max()), float((self.w["start"] - self.w["start"][0]).max()))
-        order = [k for k, s in enumerate(scores) if len(s) and (s[:, 1:].max(axis=1) - s[:, 0]).max() + gain >= 0]
+        order = self._worth(scores)
         order.sort(key=lambda k: -len(scores[k]))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]

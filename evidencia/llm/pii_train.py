@@ -18,7 +18,7 @@ import xxhash
 from evidencia.llm import pii
 from evidencia.llm.pii_labels import Labeller
 
-HIDDEN = 32
+HIDDEN = 24
 SENTENCES = 30_000
 SMALL = 16
 #: Of the letters behind a capital, and of other small letters, so many are others at each step, so that the words of the
